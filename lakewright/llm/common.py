@@ -2,53 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, drop, shared_dir
+
+__all__ = ["Carried", "components", "cut", "drop", "shared_dir", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the test data; only Spark opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary folder where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lakewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
+class Carried:
+    """Columns of a table under names that clash with none of an operator's."""
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back. The rows then
-    survive the loss of any executor. The files go when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, p = _file_system(spark, path)
-    fs.deleteOnExit(p)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lakewright_path = path
-    return out
+    def __init__(self, df: DataFrame, *own: str):
+        self.names = df.columns
+        self.own = {n.lower(): n for n in own}
+        self.alias = {n: f"__carried_{i}" for i, n in enumerate(self.names) if n.lower() not in self.own}
 
+    def keep(self) -> list:
+        return [F.col(f"`{n}`").alias(a) for n, a in self.alias.items()]
 
-def drop(df: DataFrame) -> None:
-    """Remove the files of a cut() that nothing will read again."""
-    path = getattr(df, "_lakewright_path", None)
-    if path:
-        fs, p = _file_system(df.sparkSession, path)
-        fs.delete(p, True)
+    def restore(self, df: DataFrame, **values: str) -> DataFrame:
+        """The table's columns; values names the columns that stand for its own."""
+        return df.select(*(F.col(self.alias[n] if n in self.alias else values.get(n.lower(), n)).alias(n) for n in self.names))
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -172,11 +173,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return Hierarchy(np.stack([np.frombuffer(r["x"], np.float32) for r in got]).astype(np.float64), [r["lang"] for r in got]) if got else None
 
 
-def predict(df: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """(id, kept columns, lang_pred, score) of every row of df."""
+def predict(df: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, keep_text: bool = False) -> DataFrame:
+    """(id, kept columns, lang_pred, score) of every row of df, and its text as
+    __text if keep_text."""
     own = df.select(F.col(id_col), F.col(text_col).alias("__text"), *(keep or []))
-    rest = [f for f in own.schema.fields if f.name != "__text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", lang_pred string, score double"
+    rest = [f for f in own.schema.fields if keep_text or f.name != "__text"]
+    schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +192,7 @@ def predict(df: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text
                     got, conf = m.predict(np.stack([features(t) for _, t in some]))
                     for (i, _), g, s in zip(some, got, conf, strict=True):
                         names[i], scores[i] = g, s
-            cols = [b.column(k) for k in range(b.num_columns) if k != 1]
+            cols = [b.column(k) for k in range(b.num_columns) if keep_text or k != 1]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in rest), "lang_pred", "score"])
 
     return own.mapInArrow(run, schema)

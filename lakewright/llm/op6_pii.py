@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Carried, table
 from .native import SPANS, find_all, let
 from .pii_model import ANTI, CUES, FEATURES, KINDS, model
 
@@ -148,9 +148,8 @@ def spelt(kind: str, rows: Column) -> Column:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with every span of a row's text replaced by its kind in brackets, in
     the text column; a null text stays null. Overlapping spans become one."""
-    names = df.columns
-    own = df.withColumn("__null", F.col(text_col).isNull())
-    got = find(own, id_col, text_col, keep=[c for c in own.columns if c != id_col])
+    carried = Carried(df, id_col, text_col)
+    got = find(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__src"), *carried.keep(), F.col(text_col).isNull().alias("__null")), "__id", "__src", keep=[*carried.alias.values(), "__null"])
     rows = F.concat(*(tagged(F.col("base")[k], k) for k in BASE), F.transform("added", lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), r["kind"].alias("kind"))))
 
     def step(acc: Column, r: Column) -> Column:
@@ -160,7 +159,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     whole = F.aggregate(F.array_sort(rows), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("__text"), a["at"] + 1, F.length(F.col("__text")))))
     text = F.when(F.col("__null"), F.lit(None)).when(F.size(rows) == 0, F.col("__text")).otherwise(whole)
-    return got.select(*(text.alias(c) if c == text_col else F.col(c) for c in names))
+    return carried.restore(got.withColumn("__new", text), **{id_col.lower(): "__id", text_col.lower(): "__new"})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .op4_language import fit_scale
@@ -207,12 +208,12 @@ def document_frequencies(docs: DataFrame, vocab: list[str]) -> tuple[int, dict[s
     return got.pop(-1, 0), {vocab[i]: n for i, n in got.items()}
 
 
-def score(df: DataFrame, index: Index | None, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """(id, kept columns, score, evidence) of every row of df; evidence holds the
-    ids of the neighbours, nearest first."""
+def score(df: DataFrame, index: Index | None, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, keep_text: bool = False) -> DataFrame:
+    """(id, kept columns, score, evidence) of every row of df, and its text as
+    __text if keep_text; evidence holds the ids of the neighbours, nearest first."""
     own = df.select(F.col(id_col), F.col(text_col).alias("__text"), *(keep or []))
-    rest = [f for f in own.schema.fields if f.name != "__text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", score double, evidence array<long>"
+    rest = [f for f in own.schema.fields if keep_text or f.name != "__text"]
+    schema = T.StructType([*rest, T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
     shared = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,7 @@ def score(df: DataFrame, index: Index | None, id_col: str = "doc_id", text_col:
                         for w in [w for w in words if len(w) > k and "^" + w[:k] in known]:
                             found["^" + w[:k]] = found.get("^" + w[:k], 0) + words[w]
                 got.append(ix.score(found) if ix else (0.0, []))
-            cols = [b.column(k) for k in range(b.num_columns) if k != 1]
+            cols = [b.column(k) for k in range(b.num_columns) if keep_text or k != 1]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=[*(f.name for f in rest), "score", "evidence"])
 
     return own.mapInArrow(run, schema)
