@@ -6,23 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.llm import op3_minhash, op4_language, op6_pii, op7_packing, op9_toxicity
-from lakewright.llm.common import cut, table
+from lakewright.llm.common import Carried, cut, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no learned language: those without a letter."""
     model = op4_language.fit(docs.where(~op4_language.held_out()))
-    told = op4_language.predict(docs, model, keep=[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] + [F.col("text").alias("__kept")])
-    kept = told.where((F.col("lang_pred") != op4_language.UNKNOWN) | F.lit(model is None))
-    return kept.select(*(F.col("__kept").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    carried = Carried(docs, "doc_id", "text")
+    told = op4_language.predict(docs, model, keep=carried.keep(), keep_text=True)
+    return carried.restore(told.where((F.col("lang_pred") != op4_language.UNKNOWN) | F.lit(model is None)), text="__text")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose score is 0.5 or more."""
     labels = table(spark, sf_dir, "labels").where(~op9_toxicity.held_out())
     index = op9_toxicity.fit(docs, labels)
-    told = op9_toxicity.score(docs, index, keep=[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] + [F.col("text").alias("__kept")])
-    return told.where("score < 0.5").select(*(F.col("__kept").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    carried = Carried(docs, "doc_id", "text")
+    told = op9_toxicity.score(docs, index, keep=carried.keep(), keep_text=True)
+    return carried.restore(told.where("score < 0.5"), text="__text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
