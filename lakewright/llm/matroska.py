@@ -58,7 +58,7 @@ def block(track: int, rel: int, frames: list[bytes], lacing: int) -> bytes:
     laces = bytes([len(frames) - 1])
     if lacing == XIPH:
         laces += b"".join(b"\xff" * (s // 255) + bytes([s % 255]) for s in sizes[:-1])
-    elif lacing == EBML_LACING:
+    elif lacing == EBML_LACING and len(frames) > 1:  # the last size is what is left
         laces += vint(sizes[0]) + b"".join(signed_vint(b - a) for a, b in zip(sizes[:-2], sizes[1:-1], strict=True))
     return head + laces + b"".join(frames)
 

@@ -41,7 +41,7 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
             digits = int(r.integers(9, 12)) if good else int(r.integers(7, 13))
             seps = 2 if good else int(r.integers(1, 5))
             length, groups = digits + seps, 3 if good else int(r.integers(2, 6))
-        distinct = int(r.integers(5, 10)) if good else int(r.integers(1, 9))
+        distinct = min(digits, int(r.integers(5, 10)) if good else int(r.integers(1, 9)))
         luhn = int(kind == 2 and r.random() < 0.1)
         x.append((kind, length, digits, seps, int(glued), int(glued and r.random() < 0.5), cue, anti, luhn, distinct, groups))
         y.append(good)
