@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, table
+from .common import cut, table
 from .native import let
 
 #: Turns whose places are counted together.
@@ -110,15 +110,15 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     parents = turns.join(linked, ["conv_id", "turn"], "left").join(prev, ["conv_id", "turn"], "left")
     parents = cut(parents.select("conv_id", "turn", F.coalesce("answers", "before").alias("parent_turn"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.when(F.col("answers").isNotNull(), F.col("conv_id")).otherwise(F.col("far.conv_id")).alias("linked_conv_id"), F.coalesce("answers", F.col("far.turn")).alias("linked_turn")), "parents")
 
-    # pointer doubling: after k rounds a row knows its ancestor 2^k steps up
-    up = cut(parents.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth")), "up")
-    while True:
-        over = up.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        new = cut(up.join(over, ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("up2") != F.col("up")).alias("moved")), "up")
-        drop(up)
-        up = new
-        if not up.where("moved").take(1):
-            break
+    # pointer doubling: a round doubles how far up a row sees; rows that see
+    # their thread's first message are settled and leave the rounds
+    root = F.col("parent_turn").isNull()
+    first = cut(parents.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), root.alias("settled")), "up")
+    up, active = first.where("settled"), first.where("not settled")
+    while active.take(1):
+        over = up.unionByName(active).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("settled").alias("settled2"))
+        new = cut(active.select("conv_id", "turn", "up", "depth").join(over, ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("settled2").alias("settled")), "up")
+        up, active = up.unionByName(new.where("settled")), new.where("not settled")
     threads = parents.join(up.select("conv_id", "turn", F.col("up").alias("thread_turn"), "depth"), ["conv_id", "turn"])
     out = cut(msg.select("conv_id", "turn", "role", "body", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce(F.array_max(F.transform("quotes", lambda q: q["level"])), F.lit(0)).cast("long").alias("quote_depth")).join(threads, ["conv_id", "turn"], "left"), "threads")
 
