@@ -244,3 +244,64 @@ def duplicate_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     w = Window.partitionBy("conv_id", "role").orderBy("turn")
     return c.withColumn("r", F.row_number().over(w)).where("r > 1").select("conv_id", "turn", "role")
+
+
+# -- source code -------------------------------------------------------------
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): source files made from the test tables, one per part and
+    customer, so that a corpus grows with the scale factor."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k, up = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 7).cast("string")
+    cls = F.concat(
+        F.lit("public virtual class Part"), k, F.when(F.col("p_partkey") % 7 != F.col("p_partkey"), F.concat(F.lit(" extends Part"), up)).otherwise(""), F.lit(" {\n    private Integer size = "), F.col("p_size").cast("string"),
+        F.lit(";\n    public virtual Decimal price(List<Orders> rows) {\n        for (Orders o : rows) {\n            List<Lineitem> items = [SELECT l_quantity, l_nothing FROM Lineitem WHERE l_orderkey = :o.o_orderkey];\n            update items;\n        }\n        return helper(size);\n    }\n    private Decimal helper(Integer n) { return n * "),
+        F.col("p_retailprice").cast("string"), F.lit("; }\n    private String label() { return '"), F.regexp_replace("p_name", "['\\\\]", ""), F.lit("'; }\n}\n"),
+    )
+    return p.select(F.concat(F.lit("src/Part"), k, F.lit(".cls")).alias("path"), cls.alias("text"))
+
+
+@query("source_search", "SELECT 'src/Part' || p_partkey || '.cls' AS path, 5 AS line, 36 AS col, 'Lineitem' AS o FROM part WHERE p_partkey IS NOT NULL")
+def source_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .apex.corpus import search
+
+    hits = search(source_files(spark, sf_dir), "for (...) { ... ^[SELECT ... FROM $o ...] ... }", ands=["$o ~ line*"])
+    return hits.select("path", "line", "col", F.col("binds")["o"].alias("o"))
+
+
+@query("source_rewrite", "SELECT 'src/Part' || p_partkey || '.cls' AS path, 'changed' AS status, 1 AS edits FROM part")
+def source_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .apex.corpus import rewrite
+
+    return rewrite(source_files(spark, sf_dir), "${[SELECT ... FROM $o ...]}", ["$1 => Selector.query('$1:quote')"]).select("path", "status", "edits")
+
+
+@query("source_symbols", "SELECT kind, count(*) AS n FROM (SELECT unnest(['Class', 'Field', 'Method', 'Method', 'Method', 'Parameter', 'Parameter', 'ForEachVar', 'LocalVar']) AS kind FROM part) GROUP BY kind")
+def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .apex.bind import symbols
+
+    return symbols(source_files(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("source_inheritance", "SELECT 'Part' || p_partkey AS sub, 'Part' || (p_partkey % 7) AS super, 1 AS depth FROM part WHERE p_partkey % 7 <> p_partkey AND p_partkey % 7 IN (SELECT p_partkey FROM part)")
+def source_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .apex.bind import Program
+
+    p = Program(source_files(spark, sf_dir))
+    n = p.symbols.select("id", "name")
+    c = p.closure
+    return c.join(n.select(F.col("id").alias("sub"), F.col("name").alias("a")), "sub").join(n.select(F.col("id").alias("super"), F.col("name").alias("b")), "super").select(F.col("a").alias("sub"), F.col("b").alias("super"), "depth")
+
+
+@query("source_findings", """SELECT path, code, message FROM (SELECT 'src/Part' || p_partkey || '.cls' AS path FROM part) CROSS JOIN (VALUES ('bulk', 'a query inside a loop'), ('bulk', 'DML inside a loop'), ('schema', 'unknown field ''l_nothing'' on ''Lineitem'''), ('dead', 'method ''label'' is never used')) AS f(code, message)""")
+def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .apex import diagnostics
+    from .apex.bind import Program
+
+    cat = star_schema(spark, sf_dir)
+    rows = [(e.name, c) for e in cat.entities.values() for c in cat.frame(e).columns]
+    p = Program(source_files(spark, sf_dir), spark.createDataFrame(rows, "object string, field string"))
+    found = [diagnostics.bulkification(p), diagnostics.unknown_schema(p), diagnostics.dead_code(p).where("message like 'method %label%'"), diagnostics.syntax_errors(p), diagnostics.unreachable(p)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("path", "code", "message")
