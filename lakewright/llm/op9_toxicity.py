@@ -128,22 +128,19 @@ class Index:
         return float(1 / (1 + np.exp(-(a * self.votes(near) + b)))), [int(self.ids[e]) for _, e in near]
 
 
-def select_terms(docs: list[set[str]], labels: list[int]) -> list[str]:
-    """Terms that depend on the label, strongest first, TERMS at most."""
-    pos, neg = Counter(), Counter()
+def select_terms(docs: list[np.ndarray], labels: list[int], names: list[str]) -> list[str]:
+    """Terms that depend on the label, strongest first, TERMS at most. docs holds
+    the distinct term numbers of each example."""
+    pos, neg = np.zeros(len(names)), np.zeros(len(names))
     for d, y in zip(docs, labels, strict=True):
-        (pos if y else neg).update(d)
+        (pos if y else neg)[d] += 1
     n1, n0 = sum(labels), len(labels) - sum(labels)
-    scored = []
-    for t in set(pos) | set(neg):
-        a, b = pos[t], neg[t]
-        n = n1 + n0
-        low = (a + b) * (n - a - b) * n1 * n0
-        chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / low if low else 0.0
-        high, least = sorted(((a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)), reverse=True)
-        if chi >= LEAST_CHI2 and a + b >= 3 and high >= LEAST_RATIO * least:
-            scored.append((-chi, t))
-    return [t for _, t in sorted(scored)[:TERMS]]
+    n, seen = n1 + n0, pos + neg
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = n * (pos * (n0 - neg) - neg * (n1 - pos)) ** 2 / (seen * (n - seen) * float(n1) * n0)
+    one, two = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
+    good = np.flatnonzero((np.nan_to_num(chi, posinf=0) >= LEAST_CHI2) & (seen >= 3) & (np.maximum(one, two) >= LEAST_RATIO * np.minimum(one, two)))
+    return [names[i] for i in sorted(good.tolist(), key=lambda i: (-chi[i], names[i]))[:TERMS]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index | None:
@@ -165,18 +162,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [terms(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], names=["doc_id", "y", "t", "n"])
-
-    seen: dict[int, tuple[dict[str, int], int]] = {}
-    for r in pick.select("doc_id", "y", "text").mapInArrow(tally, "doc_id long, y int, t array<string>, n array<int>").toLocalIterator():
-        row = dict(zip(r["t"], r["n"], strict=True))
-        if r["doc_id"] not in seen or sorted(row.items()) < sorted(seen[r["doc_id"]][0].items()):
-            seen[r["doc_id"]] = (row, r["y"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], names=["doc_id", "y", "h", "t", "n"])
+
+    # terms become numbers at once: the driver holds each string once
+    number: dict[str, int] = {}
+    seen: dict[int, tuple[int, np.ndarray, np.ndarray, int]] = {}
+    for r in pick.select("doc_id", "y", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")).mapInArrow(tally, "doc_id long, y int, h long, t array<string>, n array<int>").toLocalIterator():
+        if r["doc_id"] not in seen or r["h"] < seen[r["doc_id"]][0]:
+            seen[r["doc_id"]] = (r["h"], np.array([number.setdefault(t, len(number)) for t in r["t"]], np.int32), np.array(r["n"], np.int32), r["y"])
     if not seen:
         return None
     ids = sorted(seen)
-    vecs, ys = [seen[i][0] for i in ids], [seen[i][1] for i in ids]
-    vocab = select_terms([set(v) for v in vecs], ys)
+    ys = [seen[i][3] for i in ids]
+    vocab = select_terms([seen[i][1] for i in ids], ys, list(number))
+    wanted = {number[t]: t for t in vocab}
+    vecs = [{wanted[k]: c for k, c in zip(seen[i][1].tolist(), seen[i][2].tolist(), strict=True) if k in wanted} for i in ids]
+    del seen, number
     n, df = document_frequencies(docs.select(F.col(text_col).alias("text")), vocab)
     idf = np.log((1 + n) / (1 + np.array([df.get(t, 0) for t in vocab], float))) + 1
     index = Index(vocab, idf, vecs, ys, ids)

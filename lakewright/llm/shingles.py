@@ -19,7 +19,7 @@ _INV = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Texts are hashed in parts of about this many bytes, cut between words.
-PART = 1 << 20
+PART = 1 << 17
 
 
 def _powers(base: int, n: int) -> np.ndarray:

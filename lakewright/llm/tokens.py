@@ -56,6 +56,7 @@ class Codec:
         self.piece = self.enc._encode_single_piece
         self.bytes_of = self.enc.decode_bytes
         self.pool: ThreadPoolExecutor | None = None
+        del spec
 
     # -- unsplit text ------------------------------------------------------
     def _agree(self, x: int, y: int) -> bool:
