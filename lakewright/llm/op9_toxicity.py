@@ -34,7 +34,7 @@ from .op4_language import fit_scale
 
 #: Most examples of a label, and most terms; both bound the index.
 PER_LABEL, TERMS = 1500, 4000
-PREFIXES, BLOCK, K = (3, 4, 5, 6, 7), 64, 15
+PREFIXES, BLOCK, K = (3, 4, 5, 6, 7), 64, 40
 #: Least chi-square of a term's presence against the label, and least ratio of
 #: its rates under the two labels.
 LEAST_CHI2, LEAST_RATIO = 30.0, 8.0
