@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.relations import closure
+from ..storage import cut
 from .corpus import Lines, is_trigger, per_file
 from .lexer import Token
 from .parser import Node, Tree, parse
@@ -292,14 +293,16 @@ def sid(path: str = "path", local: str = "local"):
 
 
 class Program:
-    """The relations of a corpus. Each is a DataFrame and is computed when used."""
+    """The relations of a corpus. Symbols, uses and what is resolved from them are
+    written once to the shared folder, so that each file is read and parsed once
+    per relation however many questions follow."""
 
     def __init__(self, files: DataFrame, schema: DataFrame | None = None):
         """schema: (object, field) names that queries may use; null field rows name objects."""
         self.files = files
         self.schema = schema
-        self.symbols = symbols(files).withColumn("id", sid()).withColumn("container_id", F.when(F.col("container") >= 0, sid("path", "container"))).withColumn("name_lc", F.lower("name"))
-        self.uses = uses(files).withColumn("name_lc", F.lower("name")).withColumn("within_id", sid("path", "within"))
+        self.symbols = cut(symbols(files).withColumn("id", sid()).withColumn("container_id", F.when(F.col("container") >= 0, sid("path", "container"))).withColumn("name_lc", F.lower("name")), "symbols")
+        self.uses = cut(uses(files).withColumn("name_lc", F.lower("name")).withColumn("within_id", sid("path", "within")), "uses")
         self.types = self.symbols.where("kind in ('Class','Interface','Enum')").select("id", "path", "kind", "name_lc", "container_id", "supers", "modifiers", "visibility")
         self._edges = self._closure = self._owner = self._refs = None
 
@@ -314,10 +317,10 @@ class Program:
             up = s.select(F.col("id").alias("cid"), F.when(is_type, F.col("id")).alias("ctype"), F.col("container_id").alias("cc"))
             cur = own
             for _ in range(4):
-                cur = cur.join(up, cur.container_id == up.cid, "left").select("id", F.coalesce("type_id", "ctype").alias("type_id"), F.coalesce("cc", F.when(F.col("cid").isNull(), F.col("container_id"))).alias("container_id"))
+                cur = cur.join(up, F.col("container_id") == F.col("cid"), "left").select("id", F.coalesce("type_id", "ctype").alias("type_id"), F.coalesce("cc", F.when(F.col("cid").isNull(), F.col("container_id"))).alias("container_id"))
             top = own.select(F.col("id").alias("tid"), F.col("container_id").alias("tc"))
             out = cur.select("id", "type_id").join(top, F.col("type_id") == F.col("tid"), "left")
-            self._owner = out.select("id", "type_id", F.coalesce("tc", "type_id").alias("top_id"))
+            self._owner = cut(out.select("id", "type_id", F.coalesce("tc", "type_id").alias("top_id")), "owners")
         return self._owner
 
     @property
@@ -325,7 +328,7 @@ class Program:
         """(sub, super) between types; a nested type of the same name comes before a global one."""
         if self._edges is None:
             raw = self.types.select(F.col("id").alias("sub"), F.coalesce("container_id", "id").alias("scope"), F.explode(F.split(F.lower("supers"), ",")).alias("name_lc")).where("name_lc <> ''")
-            self._edges = self._by_type_name(raw, "sub").select("sub", F.col("target").alias("super"))
+            self._edges = cut(self._by_type_name(raw, "sub").select("sub", F.col("target").alias("super")), "edges")
         return self._edges
 
     def _by_type_name(self, raw: DataFrame, key: str) -> DataFrame:
@@ -383,7 +386,8 @@ class Program:
                 out = out.join(objects, F.col("__obj") == F.col("s_obj"), "left").join(fields, (F.col("kind") == "soql_field") & (F.col("__obj") == F.col("f_obj")) & (F.element_at(F.split("name_lc", r"\."), 1) == F.col("f_name")), "left")
                 unknown = F.col("kind").isin("soql_object", "soql_field") & (F.col("s_obj").isNull() | (F.col("kind") == "soql_field") & F.col("f_name").isNull())
             outcome = F.when(F.col("target_id").isNotNull(), "Resolved").when(unknown, "UnknownSchema").when(F.col("kind").isin("soql_object", "soql_field"), "SchemaObject").when(F.col("kind").isin("dml", "soql", "sosl", "soql_child"), "Statement").otherwise("Unresolved")
-            self._refs = out.select("rid", "path", "ref", "kind", "name", "receiver", "arity", "start", "end", "within_id", "type_id", "top_id", "in_loop", "target_id", outcome.alias("outcome"))
+            refs = out.select("rid", "path", "ref", "kind", "name", "receiver", "arity", "start", "end", "within_id", "type_id", "top_id", "in_loop", "target_id", outcome.alias("outcome"))
+            self._refs = cut(refs, "refs")
         return self._refs
 
     # -- lookups -----------------------------------------------------------
@@ -415,8 +419,8 @@ class Program:
     def outline(self) -> DataFrame:
         """Declarations with their children's names, a level at a time."""
         shown = self.symbols.where(~F.col("kind").isin("LocalVar", "Parameter", "CatchVar", "ForEachVar", "SwitchBindingVar"))
-        kids = shown.groupBy("container_id").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "name"))).alias("children"))
-        return shown.select("id", "path", "kind", "name", "start", "end").join(kids, F.col("id") == kids.container_id, "left").drop("container_id")
+        kids = shown.groupBy(F.col("container_id").alias("of_id")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "name"))).alias("children"))
+        return shown.select("id", "path", "kind", "name", "start", "end").join(kids, F.col("id") == F.col("of_id"), "left").drop("of_id")
 
     def top_k_per_type(self, k: int) -> DataFrame:
         """The k most referenced members of each type."""

@@ -185,3 +185,11 @@ def dead_code_fixes(p: Program) -> DataFrame:
     w = Window.partitionBy("path").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("m", F.max("end").over(w))
     return d.select("path", "start", "end", F.lit("").alias("new_text"), F.when(F.col("m") >= F.col("end"), "subsumed").otherwise("apply").alias("status"))
+
+
+def located(p: Program) -> DataFrame:
+    """All findings with 1-based line and column (in bytes) instead of offsets."""
+    from ..operators.relations import line_col, line_table
+
+    points = all_findings(p).withColumnRenamed("start", "offset")
+    return line_col(points, line_table(p.files, "path", "text"), "path").select("path", "line", "col", "severity", "code", "message")

@@ -71,11 +71,11 @@ def dispatch(p: Program) -> DataFrame:
 
 def signature(p: Program) -> DataFrame:
     """(id, text) of callables and variables as a reader would see them."""
-    ps = p.symbols.where("kind = 'Parameter'").groupBy("container_id").agg(F.array_sort(F.collect_list(F.struct("start", F.concat_ws(" ", typed(), "name").alias("t")))).alias("ps"))
-    s = p.symbols.alias("s").join(ps, F.col("s.id") == ps.container_id, "left")
+    ps = p.symbols.where("kind = 'Parameter'").groupBy(F.col("container_id").alias("of_id")).agg(F.array_sort(F.collect_list(F.struct("start", F.concat_ws(" ", typed(), "name").alias("t")))).alias("ps"))
+    s = p.symbols.join(ps, F.col("id") == F.col("of_id"), "left")
     args = F.concat(F.lit("("), F.array_join(F.transform(F.coalesce("ps", F.array().cast("array<struct<start:int,t:string>>")), lambda x: x["t"]), ", "), F.lit(")"))
     text = F.concat_ws(" ", F.nullif("modifiers", F.lit("")), typed(), "name")
-    return s.select(F.col("s.id").alias("id"), F.when(F.col("kind").isin("Method", "Constructor"), F.concat(text, args)).otherwise(text).alias("text"))
+    return s.select("id", F.when(F.col("kind").isin("Method", "Constructor"), F.concat(text, args)).otherwise(text).alias("text"))
 
 
 def typed():

@@ -29,9 +29,7 @@ public class B extends A {
 
 @pytest.fixture(scope="module")
 def program(spark):
-    p = Program(spark.createDataFrame([("A.cls", A), ("B.cls", B)], "path string, text string"))
-    p.symbols, p.uses = p.symbols.cache(), p.uses.cache()
-    return p
+    return Program(spark.createDataFrame([("A.cls", A), ("B.cls", B)], "path string, text string"))
 
 
 def test_positions(spark, program):
