@@ -34,7 +34,7 @@ def dead_symbols(p: Program) -> DataFrame:
     spared = F.exists(notes, lambda a: a.isin("istest", "testsetup", *PLATFORM)) | F.array_contains(F.split("modifiers", " "), "testmethod") | F.array_contains(F.split("modifiers", " "), "override")
     tests = p.symbols.where(F.array_contains(F.split("annotations", ","), "istest")).select(F.col("id").alias("container_id"))
     used = p.refs.where("target_id is not null").select(F.col("target_id").alias("id")).distinct()
-    required = p.closure.join(p.symbols.where("kind = 'Method'").select(F.col("container_id").alias("super"), "name_lc", "arity"), "super").select(F.col("sub").alias("container_id"), "name_lc", "arity").distinct()
+    required = p.closure.join(p.symbols.where("kind = 'Method' and visibility <> 'private'").select(F.col("container_id").alias("super"), "name_lc", "arity"), "super").select(F.col("sub").alias("container_id"), "name_lc", "arity").distinct()
     interfaces = p.types.where("kind = 'Interface'").select(F.col("id").alias("container_id"))
     out = s.where(~spared).join(used, "id", "left_anti").join(tests, "container_id", "left_anti").join(interfaces, "container_id", "left_anti")
     keep = out.where("kind <> 'Method'").unionByName(out.where("kind = 'Method'").join(required, ["container_id", "name_lc", "arity"], "left_anti").select(out.columns))
@@ -159,7 +159,7 @@ def narrowing(p: Program) -> DataFrame:
     spared = F.exists(F.split("annotations", ","), lambda a: a.isin("istest", "testsetup", "testvisible", *PLATFORM)) | F.array_contains(F.split("modifiers", " "), "override")
     s = p.symbols.where(F.col("kind").isin("Method", "Field", "Property") & (F.col("visibility") == "public") & ~spared)
     interfaces = p.types.where("kind = 'Interface'").select(F.col("id").alias("container_id"))
-    required = p.closure.join(p.symbols.where("kind = 'Method'").select(F.col("container_id").alias("super"), "name_lc", "arity"), "super").select(F.col("sub").alias("container_id"), "name_lc", "arity").distinct()
+    required = p.closure.join(p.symbols.where("kind = 'Method' and visibility <> 'private'").select(F.col("container_id").alias("super"), "name_lc", "arity"), "super").select(F.col("sub").alias("container_id"), "name_lc", "arity").distinct()
     s = s.join(interfaces, "container_id", "left_anti").join(required, ["container_id", "name_lc", "arity"], "left_anti")
     top = p.owner.select("id", F.col("type_id").alias("own_type"), F.col("top_id").alias("own_top"))
     uses = p.refs.where("target_id is not null").select(F.col("target_id").alias("id"), "type_id", "top_id")
