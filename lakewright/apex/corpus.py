@@ -80,6 +80,20 @@ class Lines:
         return line - 1, len(text[self.starts[line - 1]: at].encode("utf-16-le")) // 2
 
 
+    def offset(self, text: str, line: int, col: int, utf16: bool = True) -> int | None:
+        """Character offset of a 0-based line and column; past a line's end is
+        its end, past the last line is None."""
+        if line >= len(self.starts):
+            return None
+        at = self.starts[line]
+        end = self.starts[line + 1] - 1 if line + 1 < len(self.starts) else len(text)
+        left = col
+        while at < end and left > 0:
+            left -= (2 if ord(text[at]) > 0xFFFF else 1) if utf16 else len(text[at].encode("utf-8"))
+            at += left >= 0
+        return at
+
+
 def per_file(files: DataFrame, schema: str, f: Callable[[str, str], list[tuple]]) -> DataFrame:
     """The rows that f gives for each (path, text)."""
     names = [c.strip().split(" ")[0] for c in schema.replace("map<string,string>", "map").split(",")]

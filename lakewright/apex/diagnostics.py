@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bind import Program
 from .corpus import Lines, is_trigger, parse_errors, per_file
 from .parser import Node, parse
+from .types import SCALARS, compatible, literal_type
 
 COLUMNS = ["path", "start", "end", "severity", "code", "message"]
 # Annotations by which the platform calls a member, and Database methods that do DML or queries.
@@ -128,29 +129,77 @@ def unreachable(p: Program) -> DataFrame:
 
 
 def type_mismatches(p: Program) -> DataFrame:
-    """Initialisers whose own literal type cannot become the declared one. What
-    is not known for certain passes."""
-    fits = {"String": {"string", "id", "object"}, "Integer": {"integer", "long", "double", "decimal", "object"}, "Long": {"long", "double", "decimal", "object"}, "Decimal": {"decimal", "double", "object"}, "Boolean": {"boolean", "object"}}
-    scalars = set("string integer long double decimal boolean date datetime time blob id".split())
-    kinds = {"StringLiteral": "String", "IntegerLiteral": "Integer", "LongLiteral": "Long", "NumberLiteral": "Decimal"}
+    """Initialisers, returned values and arguments whose own type cannot become
+    the declared one. What is not known for certain passes."""
+
+    def known(n: Node) -> str | None:
+        while n.kind == "ParenExpr":
+            n = n.children[1]
+        if n.kind == "LiteralExpr":
+            return literal_type(n.children[0].kind, n.children[0].text)
+        return "".join(t.text for t in n.child("Type").tokens()) if n.kind in ("CastExpr", "NewExpr") and n.child("Type") else None
 
     def rows(path: str, text: str) -> list[tuple]:
         lines, out = Lines(text), []
+
+        def test(want: str, value: Node) -> None:
+            got = known(value)
+            if got and compatible(want, got) is False:
+                out.append((path, lines.byte(value.start), lines.byte(value.end), f"{got} cannot become {want}"))
+
+        for n in parse(text, is_trigger(path)).root.walk():
+            want = "".join(t.text for t in n.child("Type").tokens()) if n.child("Type") else ""
+            if n.kind in ("LocalVarDeclStmt", "FieldDecl") and want:
+                for d in n.nodes():
+                    if d.kind == "VarDeclarator" and len(d.children) > 2:
+                        test(want, d.children[2])
+            elif n.kind == "MethodDecl" and n.child("Block"):
+                for r in n.child("Block").walk():
+                    if r.kind == "ReturnStmt" and len(r.children) > 2:
+                        test(want, r.children[1])
+        return out
+
+    own = per_file(p.files, "path string, start int, end int, message string", rows)
+
+    def args(path: str, text: str) -> list[tuple]:
+        lines, out = Lines(text), []
         for n in parse(text, is_trigger(path)).root.walk():
-            if n.kind not in ("LocalVarDeclStmt", "FieldDecl") or n.child("Type") is None:
+            lst = n.child("ArgList") if n.kind in ("CallExpr", "MethodCallExpr", "NewExpr") else None
+            if lst is None:
                 continue
-            want = n.child("Type").word().lower()
-            for d in n.nodes():
-                init = [c for c in d.nodes() if c.kind == "LiteralExpr"] if d.kind == "VarDeclarator" else []
-                if not init or want not in scalars:
-                    continue
-                t = init[0].children[0]
-                got = "Boolean" if t.low in ("true", "false") else kinds.get(t.kind)
-                if got and want not in fits[got]:
-                    out.append((path, lines.byte(init[0].start), lines.byte(init[0].end), f"{got} cannot become {n.child('Type').word()}"))
+            name = n.children[0] if n.kind == "CallExpr" else n.child("Type") if n.kind == "NewExpr" else [c for c in n.nodes() if c.kind == "DeclName"][-1]
+            for k, a in enumerate(lst.nodes()):
+                got = known(a)
+                if got and got.lower() in SCALARS:
+                    out.append((path, lines.byte(name.start), k, lines.byte(a.start), lines.byte(a.end), got))
         return out
 
-    return finding(per_file(p.files, "path string, start int, end int, message string", rows), "error", "type", F.col("message"))
+    given = per_file(p.files, "path string, at int, k int, start int, end int, got string", args)
+    calls = p.refs.where("kind in ('method','new') and target_id is not null").select("path", F.col("start").alias("at"), "rid", F.col("target_id").alias("callee"))
+    sure = calls.groupBy("path", "at").agg(F.countDistinct("callee").alias("n")).where("n = 1").select("path", "at")
+    params = p.symbols.where("kind in ('Method','Constructor')").select(F.col("id").alias("callee"), F.posexplode(F.split("params", ",")).alias("k", "want"))
+    # every pair of scalars that certainly does not fit: a fixed, small table
+    bad = [(w, g) for w in sorted(SCALARS) for g in sorted(SCALARS) if compatible(w, g) is False]
+    never = p.files.sparkSession.createDataFrame(bad, "want_lc string, got_lc string")
+    j = given.join(calls, ["path", "at"]).join(sure, ["path", "at"], "left_semi").join(params, ["callee", "k"])
+    j = j.join(F.broadcast(never), (F.lower("want") == F.col("want_lc")) & (F.lower("got") == F.col("got_lc")))
+    first = j.groupBy("path", "at").agg(F.min(F.struct("k", "start", "end", F.concat("got", F.lit(" cannot become "), "want").alias("message"))).alias("m"))
+    return finding(own.unionByName(first.select("path", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.message").alias("message"))), "error", "type", F.col("message"))
+
+
+def type_narrowing(p: Program) -> DataFrame:
+    """Nested public types that could be private: every use is inside the same
+    top-level type, and no member that outsiders use has one in its signature."""
+    s = p.symbols.where("kind in ('Class','Interface','Enum') and visibility = 'public' and container >= 0")
+    top = p.owner.select("id", F.col("top_id").alias("own_top"))
+    uses = p.refs.where("target_id is not null").select(F.col("target_id").alias("id"), "top_id", "within_id")
+    j = s.join(top, "id").join(uses, "id")
+    inside = j.groupBy("path", "id", "name", "name_start", "name_end").agg(F.every(F.col("top_id") == F.col("own_top")).alias("inside")).where("inside")
+    outside = uses.join(top, "id").where("top_id <> own_top").select(F.col("id").alias("within_id")).distinct()
+    members = p.symbols.where("kind in ('Method','Field','Property','Constructor')").select(F.col("id").alias("within_id"))
+    leaks = p.refs.where("kind = 'type' and target_id is not null").join(members, "within_id", "left_semi").join(outside, "within_id", "left_semi").select(F.col("target_id").alias("id")).distinct()
+    g = inside.join(leaks, "id", "left_anti").withColumn("start", F.col("name_start")).withColumn("end", F.col("name_end"))
+    return finding(g, "hint", "narrow", F.concat(F.lit("type '"), F.col("name"), F.lit("' can be private")))
 
 
 def narrowing(p: Program) -> DataFrame:
@@ -167,7 +216,8 @@ def narrowing(p: Program) -> DataFrame:
     j = s.join(top, "id").join(uses, "id").join(sub, ["type_id", "own_type"], "left")
     g = j.groupBy("path", "id", "name", "name_start", "name_end").agg(F.every(F.col("top_id") == F.col("own_top")).alias("inside"), F.every((F.col("top_id") == F.col("own_top")) | F.coalesce("is_sub", F.lit(False))).alias("family"))
     g = g.where("family").withColumn("start", F.col("name_start")).withColumn("end", F.col("name_end"))
-    return finding(g, "hint", "narrow", F.concat(F.lit("'"), F.col("name"), F.lit("' can be "), F.when(F.col("inside"), "private").otherwise("protected")))
+    members = finding(g, "hint", "narrow", F.concat(F.lit("'"), F.col("name"), F.lit("' can be "), F.when(F.col("inside"), "private").otherwise("protected")))
+    return members.unionByName(type_narrowing(p))
 
 
 CHECKS = (syntax_errors, dead_code, unresolved, unknown_schema, modifier_conflicts, bulkification, unreachable, missing_implementations, type_mismatches, narrowing)

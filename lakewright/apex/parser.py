@@ -837,6 +837,7 @@ class Parser:
 
     def type_rest(self, n: Node) -> Node:
         if self.at("class"):
+            n.kind = "ClassDecl"
             self.bump(n)
             self.name(n)
             if self.eat(n, "extends"):

@@ -165,3 +165,20 @@ def test_files_and_filters(spark, tmp_path):
     assert sorted((r["path"].rsplit("/", 1)[1], r["file_class"]) for r in got.collect()) == [("Q.page", "page"), ("X.CLS", "apex")]
     df = spark.createDataFrame([("r/a/x",), ("r/ab/x",), ("r/a",)], "path string")
     assert sorted(r[0] for r in df.where(corpus.under(F.col("path"), ["r/a"])).collect()) == ["r/a", "r/a/x"]
+
+
+def test_argument_return_and_type_findings(spark):
+    a = "public class A { public class In { } public class Out { } private In x; public Out make() { return null; } public Integer f(String s, Integer n) { In y; return 'no'; } void g() { f(1, 'b'); f('a', 1); } }"
+    b = "public class B { void f() { new A().make(); } }"
+    p = Program(spark.createDataFrame([("A.cls", a), ("B.cls", b)], "path string, text string"))
+    got = sorted((r["code"], r["message"]) for r in diagnostics.type_mismatches(p).unionByName(diagnostics.type_narrowing(p)).collect())
+    assert got == [("narrow", "type 'In' can be private"), ("type", "Integer cannot become String"), ("type", "String cannot become Integer")]
+    at = {(r["line"], r["col"]) for r in diagnostics.located(p).where("code = 'type'").collect()}
+    assert at == {(1, a.index("'no'") + 1), (1, a.index("f(1,") + 3)}
+
+
+def test_editor_columns():
+    text = "aé\U0001f600b\nx"
+    lines = corpus.Lines(text)
+    assert lines.utf16(text, 3) == (0, 4) and lines.line_col(3) == (1, 8) and lines.utf16(text, 5) == (1, 0)
+    assert lines.offset(text, 0, 4) == 3 and lines.offset(text, 0, 99) == 4 and lines.offset(text, 5, 0) is None and lines.offset(text, 0, 7, utf16=False) == 3
