@@ -79,15 +79,30 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 200) ->
 
 
 def fit_scale(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that turn margins into probabilities (logistic fit)."""
-    a, b, t = 1.0, 0.0, np.where(y > 0, 1 - 1 / (2 + (y > 0).sum()), 1 / (2 + (y < 0).sum()))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g, r = p - t, p * (1 - p) + 1e-9
-        m = np.array([[(r * margin * margin).sum() + 1e-6, (r * margin).sum()], [(r * margin).sum(), r.sum() + 1e-6]])
-        d = np.linalg.solve(m, [(g * margin).sum(), g.sum()])
-        a, b = a - d[0], b - d[1]
-    return float(min(max(a, 0.1), 20)), float(b)
+    """Slope and offset that turn margins into probabilities: a logistic fit to
+    smoothed targets by Newton steps, halved until the loss falls."""
+    n1, n0 = float((y > 0).sum()), float((y < 0).sum())
+    t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    ab = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
+
+    def loss(v: np.ndarray) -> float:
+        z = v[0] * margin + v[1]
+        return float((np.logaddexp(0, z) - t * z).sum())
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(ab[0] * margin + ab[1], -30, 30)))
+        g = np.array([((p - t) * margin).sum(), (p - t).sum()])
+        if np.abs(g).max() < 1e-6:
+            break
+        r = p * (1 - p)
+        h = np.array([[(r * margin * margin).sum() + 1e-9, (r * margin).sum()], [(r * margin).sum(), r.sum() + 1e-9]])
+        d, step, now = np.linalg.solve(h, g), 1.0, loss(ab)
+        while step > 1e-10 and loss(ab - step * d) > now - 1e-4 * step * float(g @ d):
+            step /= 2
+        if step <= 1e-10:
+            break
+        ab = ab - step * d
+    return float(min(max(ab[0], 0.05), 50)), float(ab[1])
 
 
 class Hierarchy:
