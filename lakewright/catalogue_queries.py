@@ -250,7 +250,8 @@ def duplicate_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text): source files made from the test tables, one per part and
     customer, so that a corpus grows with the scale factor."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    # parsing is bound by CPU, and a small table comes in one partition
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")
     k, up = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 7).cast("string")
     cls = F.concat(
         F.lit("public virtual class Part"), k, F.when(F.col("p_partkey") % 7 != F.col("p_partkey"), F.concat(F.lit(" extends Part"), up)).otherwise(""), F.lit(" {\n    private Integer size = "), F.col("p_size").cast("string"),
