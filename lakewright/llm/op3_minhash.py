@@ -1,13 +1,16 @@
 """Near duplicates: one-permutation hashing, banded buckets, star-shaped edges.
 
 1. One pass turns every whole text into its shingle set's size and key and,
-   by a one-permutation signature with optimal densification, 24 band keys of 7.
+   by a one-permutation signature with optimal densification, band keys of 7
+   bins; there are as many bands as the limit needs (24 for 85 %, 40 for 80 %).
 2. Texts with equal sets form a class; only class representatives go on.
 3. Buckets of equal band keys give a star each: the member whose buckets hold
    most others is the hub, every other member a spoke. So a bucket of n members
-   gives n - 1 candidate pairs. Stars of the buckets that still hold several
-   components follow, keyed by two bands at once.
+   gives n - 1 candidate pairs.
 4. Candidates are confirmed on the full sets, links are joined to components.
+5. Buckets that still hold several components get GROWTH times as many hubs each
+   round, against all members of other components, until every pair of every
+   bucket is in one component or was compared. Sizes alone rule out pairs early.
 
 A row whose text is null, empty or without words has n_shingles 0 and is linked
 with nothing. Repeated rows are one class. A null id gets its own set size, a
@@ -16,6 +19,7 @@ null component_id and a null kept. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +30,24 @@ from pyspark.sql import functions as F
 from .common import components, cut, drop, table
 from .shingles import band_keys, set_key, shingle_set, signature
 
-BANDS, ROWS = 24, 7
-#: Distances of the two bands that key a second star.
-STRIDES = (1, 5)
+#: Bins of a band, most bands of so many bins, and the greatest chance that a
+#: pair at the limit shares no band.
+ROWS, MOST_BANDS, MISS = 7, 128, 1e-4
+#: Growth of the hubs of a bucket from round to round.
+GROWTH = 16
 
 
-def signatures(df: DataFrame, n: int) -> DataFrame:
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, bins of a band) for a limit of the similarity."""
+    for rows in range(ROWS, 0, -1):
+        same = (percent / 100) ** rows
+        bands = math.ceil(math.log(MISS) / math.log1p(-same)) if same < 1 else 1
+        if bands <= MOST_BANDS:
+            break
+    return bands, rows
+
+
+def signatures(df: DataFrame, n: int, count: int, width: int) -> DataFrame:
     """(doc_id, n_shingles, set, bands) of every row; set and bands null if empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +57,7 @@ def signatures(df: DataFrame, n: int) -> DataFrame:
                 s = shingle_set(x.as_py(), n)
                 size.append(len(s))
                 key.append(set_key(s) if len(s) else None)
-                bands.append(band_keys(signature(s, BANDS * ROWS), BANDS, ROWS) if len(s) else None)
+                bands.append(band_keys(signature(s, count * width), count, width) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.string()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set", "bands"])
 
     return df.mapInArrow(run, "doc_id long, n_shingles long, set string, bands array<long>")
@@ -60,11 +76,14 @@ def full_sets(df: DataFrame, n: int) -> DataFrame:
     return df.select("doc_id", "text", "set").mapInArrow(run, "set string, items array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+def sets_of(wanted: DataFrame, docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """(set, items) of the wanted set keys."""
+    wanted = wanted.distinct().join(reps.select("set", "doc_id"), "set")
+    return cut(full_sets(docs.join(wanted, "doc_id"), n).dropDuplicates(["set"]), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set keys that are linked, by their full sets."""
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    wanted = wanted.join(reps.select("set", "doc_id"), "set")
-    sets = cut(full_sets(docs.join(wanted, "doc_id"), n).dropDuplicates(["set"]), "sets")
     both = pairs.join(sets.select(F.col("set").alias("b"), F.col("items").alias("y")), "b")
     both = both.join(sets.select(F.col("set").alias("a"), F.col("items").alias("x")), "a")
     same = F.size(F.array_intersect("x", "y"))
@@ -72,40 +91,62 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, percent:
     return found.where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of found (node, component) after further links (a, b); only
+    the labels that the links name go through the rounds again."""
+    of = [found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    between = links.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    up = cut(components(between), "labels").select("node", F.col("component").alias("least"))
+    old = found.join(up.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    new = up.join(found.select("node"), "node", "left_anti").select("node", F.col("least").alias("component"))
+    return cut(old.unionByName(new), "components")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of df; texts are linked
     where 100 * intersection >= percent * union of their sets of word shingles."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(signatures(docs, words), "signatures")
+    rows = cut(signatures(docs, words, *banding(percent)), "signatures")
     named = rows.where("set is not null and doc_id is not null")
     classes = cut(named.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "classes")
-    reps = cut(named.select("set", "doc_id", "bands").join(classes.select("set", "doc_id"), ["set", "doc_id"]).dropDuplicates(["set"]), "reps")
-    member = reps.select("set", F.explode("bands").alias("key"))
+    reps = cut(named.select("set", "doc_id", "n_shingles", "bands").join(classes.select("set", "doc_id"), ["set", "doc_id"]).dropDuplicates(["set"]), "reps")
+    member = reps.select("set", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
     sizes = cut(member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     member = cut(member.join(sizes, "key"), "members")
     drop(sizes)
     degree = member.groupBy("set").agg(F.sum("n").alias("degree"))
-    ranked = member.select("key", "set").join(degree, "set")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "set")).alias("hub")).select("key", F.col("hub.set").alias("a"))
-    stars = member.select("key", F.col("set").alias("b")).join(hubs, "key").where("a <> b")
-    pairs = cut(stars.select("a", "b").distinct(), "pairs")
-    links = cut(confirm(pairs, docs, reps, words, percent), "links")
+    ranked = member.select("key", "set", "size").join(degree, "set")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "set", "size")).alias("hub")).select("key", F.col("hub.set").alias("hub"), F.col("hub.size").alias("hub_size"))
+    alike = F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * percent
+    ordered = [F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")]
+    stars = member.join(hubs, "key").where((F.col("hub") != F.col("set")) & alike)
+    pairs = cut(stars.select(*ordered).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set")))
+    sets = sets_of(ends, docs, reps, words)
+    links = cut(confirm(pairs, sets, percent), "links")
+    drop(sets)
     found = cut(components(links), "components")
 
-    # buckets that hold several components
-    where = member.select("key", "set").join(found.select(F.col("node").alias("set"), "component"), "set", "left")
-    where = where.withColumn("component", F.coalesce("component", "set"))
-    mixed = where.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    again = where.join(mixed.select("key"), "key").select("set", "component").distinct()
-    wide = reps.select("set", "bands").join(again, "set")
-    twos = F.array(*(F.xxhash64(F.lit(k), F.lit(i), F.col("bands")[i], F.col("bands")[(i + k) % BANDS]) for k in STRIDES for i in range(BANDS)))
-    second = cut(wide.select("set", "component", F.explode(twos).alias("key")), "second")
-    agg = second.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("set").alias("r"), "set", "component")).alias("hub")).where("lo <> hi")
-    more = second.select("key", F.col("set").alias("b"), F.col("component").alias("cb")).join(agg.select("key", F.col("hub.set").alias("a"), F.col("hub.component").alias("ca")), "key")
-    more = cut(more.where("ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-    links2 = cut(confirm(more, docs, reps, words, percent), "links")
-    if links2.take(1):
-        found = cut(components(links.unionByName(links2)), "components")
+    # buckets that hold several components: the hubs are those of least hash, so
+    # that the buckets of a group share them; at last all members are hubs
+    live, done, width, sets = member.select("key", "set", "size"), pairs, GROWTH, None
+    while True:
+        where = live.join(found.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        mixed = where.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        where = cut(where.join(mixed.select("key", "n"), "key"), "live")
+        if not where.take(1):
+            break
+        # later rounds need none but these sets
+        sets = sets or sets_of(where.select("set"), docs, reps, words)
+        hub = where.where(F.pmod(F.xxhash64("set"), F.lit(1 << 20)) * F.col("n") < F.lit(width << 20))
+        hub = hub.select("key", F.col("set").alias("hub"), F.col("size").alias("hub_size"), F.col("component").alias("hub_component"))
+        more = where.join(hub, "key").where((F.col("hub_component") != F.col("component")) & alike)
+        more = cut(more.select(*ordered).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        links = cut(confirm(more, sets, percent), "links")
+        if links.take(1):
+            found = merged(found, links)
+        live, done = where.where(F.col("n") > width).select("key", "set", "size"), done.unionByName(more)
+        width *= GROWTH
 
     least = classes.join(found.select(F.col("node").alias("set"), "component"), "set", "left")
     least = least.where("component is not null or n > 1").withColumn("component", F.coalesce("component", "set"))

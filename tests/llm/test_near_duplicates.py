@@ -149,3 +149,20 @@ def test_blocks_cover_every_pair(spark, monkeypatch):
     rows = [(i, [1.0, 0.001 * i, 0.0], 1) for i in range(20)]
     got = op8_embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert all(r["n_links"] == 19 and r["component_id"] == 0 for r in got)
+
+
+def test_near_copies_of_strangers_that_share_buckets(spark):
+    # strangers alike below the limit (0.77), each with one near copy (0.86)
+    shared, rows = [f"t{i}" for i in range(200)], []
+    for i in range(300):
+        own = [f"s{i}x{j}" for j in range(30)]
+        rows.append((2 * i, " ".join(shared + own)))
+        rows.append((2 * i + 1, " ".join(shared + own[:13] + [f"c{i}x{j}" for j in range(17)])))
+    got = {r["doc_id"]: r["component_id"] for r in op3_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1, percent=85).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_bands_follow_the_limit():
+    for percent in (75, 80, 85, 90, 100):
+        bands, rows = op3_minhash.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1e-4
