@@ -7,6 +7,8 @@
    and hashed. Originals are the own passages and lines of all messages; for a
    hash the least (conversation, turn) stands for them all, so a line that very
    many messages share costs one row.
+   A passage of several lines, of which a message holds every one as its own
+   line, is in that message too: the message is found by the passage's rarest line.
 3. A quoted passage links to the first earlier message of its conversation that
    holds it, else to the first of another conversation. A message answers the
    latest linked message of its conversation, else the turn before.
@@ -90,14 +92,29 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     rows = parsed(src)
     own = F.filter("ps", lambda p: p["level"] == 0)
     body = F.trim(F.array_join(F.transform(own, lambda p: p["text"]), "\n"))
-    quoted = F.filter(F.transform(F.filter("ps", lambda p: p["level"] > 0), lambda p: F.struct(p["level"].alias("level"), normal(p["text"]).alias("t"))), lambda p: p["t"] != "")
+    quoted = F.filter(F.transform(F.filter("ps", lambda p: p["level"] > 0), lambda p: F.struct(p["level"].alias("level"), normal(p["text"]).alias("t"), F.split(p["text"], "\n", -1).alias("ls"))), lambda p: p["t"] != "")
     units = F.concat(F.transform(own, lambda p: p["text"]), F.transform(F.filter("ls", lambda x: x["level"] == 0), lambda x: x["line"]))
-    hashes = F.array_distinct(F.transform(F.filter(F.transform(units, normal), lambda t: t != ""), lambda t: F.md5(t)))
-    msg = cut(rows.select("conv_id", "turn", "role", body.alias("body"), F.transform(quoted, lambda p: F.struct(p["level"].alias("level"), F.md5(p["t"]).alias("h"))).alias("quotes"), hashes.alias("hashes")), "messages")
 
-    asked = msg.where("size(quotes) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.col("q.h").alias("h")).distinct()
+    def hashed(texts: Column) -> Column:
+        return F.array_distinct(F.transform(F.filter(F.transform(texts, normal), lambda t: t != ""), lambda t: F.md5(t)))
+
+    msg = cut(rows.select("conv_id", "turn", "role", body.alias("body"), F.transform(quoted, lambda p: F.struct(p["level"].alias("level"), F.md5(p["t"]).alias("h"), hashed(p["ls"]).alias("lines"))).alias("quotes"), hashed(units).alias("hashes")), "messages")
+
+    asked = msg.where("size(quotes) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.col("q.h").alias("h"), F.col("q.lines").alias("lines")).distinct()
     asked = cut(asked, "asked")
-    said = msg.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("hashes").alias("h")).join(asked.select("h").distinct(), "h", "left_semi")
+    held = msg.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("hashes").alias("h"))
+    said = held.join(asked.select("h").distinct(), "h", "left_semi")
+
+    # passages of several lines: messages that hold the rarest line, then all of them
+    several = asked.where("size(lines) > 1").select("h", "lines").distinct()
+    line = several.select("h", "lines", F.explode("lines").alias("line"))
+    spoken = cut(held.withColumnRenamed("h", "line").join(line.select("line").distinct(), "line", "left_semi"), "lines")
+    often = line.join(spoken.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "line", "left")
+    rarest = often.groupBy("h", "lines").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "line")).alias("least"))
+    maybe = spoken.join(rarest.select("h", "lines", F.col("least.line").alias("line")), "line").select("conv_id", "turn", "h", "lines")
+    whole = maybe.join(msg.select("conv_id", "turn", "hashes"), ["conv_id", "turn"]).where(F.size(F.array_except("lines", "hashes")) == 0)
+    said = said.unionByName(whole.select("h", "conv_id", "turn").distinct())
+    asked = asked.select("conv_id", "turn", "h").distinct()
     near = said.groupBy("h", "conv_id").agg(F.min("turn").alias("near_turn"))
     far = said.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
     hit = asked.join(near, ["h", "conv_id"], "left").join(far, "h", "left")

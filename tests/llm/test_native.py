@@ -127,3 +127,11 @@ def test_long_threads_and_messages(spark):
 
 def test_no_messages(spark):
     assert link(spark, []) == []
+
+
+def test_trimmed_quotes_of_several_lines(spark):
+    said = "Hello\nalpha one\nbeta two\ngamma three\nBye"
+    rows = [(1, 0, "a", said), (1, 1, "b", "other"), (1, 2, "c", "> alpha one\n> beta two\nmy answer"), (1, 3, "c", "> Alpha one\n>\n> gamma  three\nskipped a line"), (1, 4, "d", "> alpha one\n> delta four\nnobody said that"), (2, 0, "e", "> beta two\n> gamma three\nelsewhere")]
+    got = {(r["conv_id"], r["turn"]): r for r in op2_quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    linked = {k: (r["n_linked"], r["linked_conv_id"], r["linked_turn"], r["parent_turn"]) for k, r in got.items()}
+    assert linked == {(1, 0): (0, None, None, None), (1, 1): (0, None, None, 0), (1, 2): (1, 1, 0, 0), (1, 3): (1, 1, 0, 0), (1, 4): (0, None, None, 3), (2, 0): (1, 1, 0, None)}
