@@ -201,6 +201,18 @@ def graph_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.closure(one.union(two).distinct(), "a", "b").select("a", "b")
 
 
+@query("graph_closure_all", """WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+    t AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, b FROM t WHERE b IS NOT NULL""")
+def graph_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, customers, suppliers and nations with all that is above them."""
+    def edges(table: str, a: str, source: str, b: str, target: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.concat(F.lit(a), source).alias("a"), F.concat(F.lit(b), target).alias("b"))
+
+    e = edges("orders", "o", "o_orderkey", "c", "o_custkey").union(edges("customer", "c", "c_custkey", "n", "c_nationkey"))
+    e = e.union(edges("supplier", "s", "s_suppkey", "n", "s_nationkey")).union(edges("nation", "n", "n_nationkey", "r", "n_regionkey"))
+    return relations.closure(e, "a", "b").select("a", "b")
+
+
 @query("interval_innermost", """WITH iv AS (SELECT conv_id, turn AS id, turn AS lo, turn + 1 + (turn * 5 + conv_id) % 4 AS hi FROM conversations), p AS (SELECT conv_id, turn AS point FROM conversations)
     SELECT conv_id, point, id FROM (SELECT p.conv_id, p.point, iv.id, row_number() OVER (PARTITION BY p.conv_id, p.point ORDER BY iv.hi - iv.lo, iv.lo, iv.id) AS r FROM p LEFT JOIN iv ON iv.conv_id = p.conv_id AND p.point >= iv.lo AND p.point < iv.hi) WHERE r = 1""")
 def interval_innermost(spark: SparkSession, sf_dir: str) -> DataFrame:
