@@ -27,14 +27,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates; documents without
-    words are in no group."""
-    told = op3_minhash.near_duplicates(docs)
-    gone = told.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # repeated rows of one document count once; a row without an id is no copy of another
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id is null"))
+    """Keeps one row of each group of near duplicates, that of the least id (null
+    last). Rows are told apart by id and text: an id under two texts is two rows,
+    equal rows are one. Rows with null, empty or wordless texts are in no group and
+    stay, repeats included."""
+    return op3_minhash.deduplicate(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,30 +31,45 @@ class Carried:
         return df.select(*(F.col(self.alias[n] if n in self.alias else values.get(n.lower(), n)).alias(n) for n in self.names))
 
 
+#: Nodes that take more than 1 / HOT of all edge ends are at most HOT many.
+HOT = 512
+
+
+def with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """edges (u, v) with m of least (u, m, n). The edges of hubs, which are HOT at
+    most by their counts n, meet a broadcast; only the others are shuffled."""
+    hubs = least.where(F.col("n") > max(64, ends // HOT)).select("u", F.col("m").alias("hub_m"))
+    told = edges.join(F.broadcast(hubs), "u", "left")
+    rest = told.where("hub_m is null").select("u", "v").join(least.select("u", "m"), "u")
+    return told.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).unionByName(rest)
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
-    edges: columns a, b (any comparable type, here long). Returns (node,
-    component) for every node of an edge, component being the smallest node
-    reachable. Each round is a shuffle of at most the edge count; a hub's
-    minimum is pre-aggregated map-side, so a hub with a third of all edges
-    costs one row per task. Rounds end when no edge changes.
+    edges: columns a, b (any comparable type). Returns (node, component) for every
+    node of an edge, component being the smallest node reachable. Each round is a
+    shuffle of at most the edge count; minima are pre-aggregated map-side, and a
+    hub's edges stay where they are and meet its minimum by a broadcast of bounded
+    size. Rounds end when no edge changes.
     """
+    seen = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
     e = cut(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct(),
         "edges",
     )
-    for _ in range(max_rounds):
+    now = e.agg(*seen).first()
+    for _ in range(max_rounds if now["n"] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # large star: neighbours above u move to the least neighbour of u
-        big = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        big = with_least(both.where("v > u"), low, 2 * now["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         big = big.distinct()
         # small star: neighbours not above u, and u, move to the least of them
-        low2 = big.groupBy("u").agg(F.min("v").alias("m"))
-        moved = big.join(low2, "u")
+        low2 = big.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = with_least(big, low2, now["n"])
         small = (
             moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low2.select("u", F.col("m").alias("v")))
@@ -62,15 +77,13 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             .distinct()
         )
         new = cut(small, "edges")
-        same = (
-            new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-            == e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        )
+        before, now = now, new.agg(*seen).first()
         drop(e)
         e = new
-        if same:
+        if now == before:
             break
     else:
-        raise RuntimeError("components did not settle")
+        if now["n"]:
+            raise RuntimeError("components did not settle")
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
