@@ -5,11 +5,14 @@ support vector machines vote among the family's languages. Features are the
 1-, 2- and 3-grams of the lower-cased whole text's letters as UTF-8 bytes, hashed
 to DIM counts, square-rooted and scaled to length one.
 
-The model is fitted on PER_LANG labelled rows of each language at most (a
-documented bound); the rows are drawn by a hash of id and text, after a count of all
-labelled rows. A text that is null or has no letter is `und` with score 0. If
-no row is labelled every text is `und`. Repeated rows repeat; an empty table
-gives an empty result.
+The model is fitted on PER_LANG distinct labelled texts of each language at most (a
+documented bound), those of least hash; copies of a text count once, so a group of
+copies of any size takes one place. Languages are never dropped. Two scans of the
+labelled rows give the model, however many languages there are. A text that is null
+or has no letter is `und` with score 0. If no row is labelled every text is `und`.
+A text under several languages is an example of each. Repeated rows repeat; an
+empty table gives an empty result. Further columns are carried under names that
+clash with none.
 """
 
 from __future__ import annotations
@@ -19,15 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
 
 DIM = 2048
-#: Most rows of a language that the model is fitted on.
+#: Most distinct texts of a language that the model is fitted on.
 PER_LANG = 400
+#: Times PER_LANG of a language's texts that are ranked by hash, the hashes' range,
+#: and the languages up to which their bounds are broadcast.
+MARGIN, SPACE, MANY = 2.0, 1 << 40, 10_000
 UNKNOWN = "und"
 # Families of closely related languages; any other language is a family of its own.
 FAMILIES = {
@@ -78,23 +84,24 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 200) ->
     return w
 
 
-def fit_scale(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def fit_scale(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and offset that turn margins into probabilities: a logistic fit to
     smoothed targets by Newton steps, halved until the loss falls."""
-    n1, n0 = float((y > 0).sum()), float((y < 0).sum())
+    u = np.ones(len(y)) if weight is None else weight
+    n1, n0 = float(u[y > 0].sum()), float(u[y < 0].sum())
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     ab = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
 
     def loss(v: np.ndarray) -> float:
         z = v[0] * margin + v[1]
-        return float((np.logaddexp(0, z) - t * z).sum())
+        return float((u * (np.logaddexp(0, z) - t * z)).sum())
 
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(ab[0] * margin + ab[1], -30, 30)))
-        g = np.array([((p - t) * margin).sum(), (p - t).sum()])
+        g = np.array([(u * (p - t) * margin).sum(), (u * (p - t)).sum()])
         if np.abs(g).max() < 1e-6:
             break
-        r = p * (1 - p)
+        r = u * p * (1 - p)
         h = np.array([[(r * margin * margin).sum() + 1e-9, (r * margin).sum()], [(r * margin).sum(), r.sum() + 1e-9]])
         d, step, now = np.linalg.solve(h, g), 1.0, loss(ab)
         while step > 1e-10 and loss(ab - step * d) > now - 1e-4 * step * float(g @ d):
@@ -165,18 +172,17 @@ def _usable(t: str | None) -> bool:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Hierarchy | None:
     """The model of the rows of labelled that have a text and a language."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    # distinct texts of each language, within a few hundredths
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.05).alias("n")).collect()}
     if not counts:
         return None
-    odds = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.2 * PER_LANG / n))))
-    drawn = rows.withColumn("r", F.xxhash64("text")).where((F.pmod("r", F.lit(1 << 20)) / float(1 << 20)) < odds[F.col("lang")])
-    # copies of one text count once, and PER_LANG bounds what a language sends
-    parts = []
-    for lang in sorted(counts):
-        parts.append(drawn.where(F.col("lang") == lang).groupBy("lang", "r").agg(F.first("text").alias("text")).orderBy("r").limit(PER_LANG))
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)
+    # the PER_LANG texts of least hash: of those under a bound that about MARGIN times as many are under
+    of = rows.sparkSession.createDataFrame([(k, int(min(1.0, MARGIN * PER_LANG / n) * SPACE)) for k, n in counts.items()], "lang string, bound long")
+    drawn = rows.withColumn("place", F.pmod(F.xxhash64("h"), F.lit(SPACE))).join(F.broadcast(of) if len(counts) <= MANY else of, "lang").where("place < bound")
+    drawn = drawn.groupBy("lang", "place", "h").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))
+    chosen = drawn.withColumn("nth", nth).where(F.col("nth") <= PER_LANG)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,20 +1,26 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are a text's words and their beginnings of PREFIXES letters. The vocabulary
-is the terms whose presence depends on the label (chi-square, ratio of rates) in
-a bounded sample of labelled rows; document frequencies come from all documents. The
-examples' vectors form an inverted index in blocks of BLOCK examples: a term
-keeps its greatest weight in each block, so a query's upper bound for a block
-is a sum of products, and blocks are scored in falling order of the bound until
-none can reach the K-th best cosine. The result equals a full scan.
-
-The K neighbours vote by the square of their cosine against a prior; a logistic
-fit on left-out examples, weighted to the true shares of the labels, turns
-votes into scores. A text without a known term has the prior's score.
-
-Null and empty texts have no terms. Rows of one id with unlike labels count as
-toxic. With no labelled row every score is 0. Repeated rows repeat; an empty
-table gives an empty result.
+Terms are the words of a whole text. The examples are a bounded sample of distinct
+labelled texts; every term of every example is in the index, and document
+frequencies come from all documents. The examples' vectors form an inverted index
+in blocks of BLOCK examples: a term keeps its greatest weight in each block, so a
+query's upper bound for a block is a sum of products, and blocks are scored in
+falling order of the bound until none can reach the K-th best cosine. The result
+equals a full scan.
+
+The K neighbours vote by distance against a prior. A neighbour's vote is what the
+shared terms that depend on the label add to the cosine, each times its dependence,
+plus a high power of the cosine itself, by which a near copy of an
+example decides alone. A term's dependence is the lower confidence bound of its
+log odds ratio in the examples. A logistic fit on examples that were left out of
+index and dependences, weighted to the true shares of the labels, turns votes into
+scores. A text without a known term has the prior's score.
+
+Null and empty texts have no terms. Rows of one id, or of one text, with unlike
+labels count as toxic; labels of null ids or texts do not count. Ties between
+neighbours go by the hash of the example's text. With no labelled row every score
+is 0. Repeated rows repeat; an empty table gives an empty result. Further columns
+are carried under names that clash with none.
 """
 
 from __future__ import annotations
@@ -29,184 +35,221 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import cut, drop, table
 from .op4_language import fit_scale
 
-#: Most examples of a label, and most terms; both bound the index.
-PER_LABEL, TERMS = 1500, 4000
-PREFIXES, BLOCK, K = (3, 4, 5, 6, 7), 64, 40
-#: Least chi-square of a term's presence against the label, and least ratio of
-#: its rates under the two labels.
-LEAST_CHI2, LEAST_RATIO = 30.0, 8.0
-PRIOR_WEIGHT = 0.05
+#: Most examples of a label: it bounds the index and what the driver holds.
+PER_LABEL = 1500
+BLOCK, K = 64, 40
+#: Standard errors below the log odds ratio at which a term's dependence is read,
+#: weight of the prior in votes, and the power by which near copies decide alone.
+SURE, PRIOR_WEIGHT, COPY = 2.0, 0.02, 16
 _WORD = re.compile(r"\w+")
 
 
 def terms(text: str | None) -> Counter:
-    """Counts of a whole text's words and word beginnings."""
-    words = Counter(_WORD.findall(text.lower())) if text else Counter()
-    out = Counter(words)
-    for w, n in words.items():
-        for p in beginnings(w):
-            out[p] += n
-    return out
+    """Counts of a whole text's words."""
+    return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
-def beginnings(word: str) -> list[str]:
-    """The word's beginnings that are shorter than the word, marked as such."""
-    return ["^" + word[:k] for k in PREFIXES if k < len(word)]
+def dependence(pos: np.ndarray, neg: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Lower confidence bound of the size of terms' log odds ratios; 0 if unsure."""
+    odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
+    return np.maximum(0.0, np.abs(odds) - SURE * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)))
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges start..stop, one after another."""
+    n = stop - start
+    return np.repeat(stop - np.cumsum(n), n) + np.arange(n.sum())
 
 
 class Index:
-    """Block-max inverted index of examples; vectors have length one."""
+    """Block-max inverted index of examples; vectors have length one. Entry k is a
+    term's part of a block: block[k], greatest weight top[k], and postings
+    first[k]..first[k + 1]; a term's entries are entry[t]..entry[t + 1]."""
 
-    def __init__(self, vocab: list[str], idf: np.ndarray, docs: list[dict[str, int]], labels: list[int], ids: list[int]):
+    def __init__(self, vocab: list[str], idf: np.ndarray, docs: list[dict[str, int]], labels: list[int], ids: list[int], keys: list[int]):
         self.term = {t: i for i, t in enumerate(vocab)}
         self.idf = idf
         vecs = [self.vector(d) for d in docs]
         # examples with alike strongest terms share blocks
-        order = sorted(range(len(docs)), key=lambda i: (labels[i], int(vecs[i][0][np.argmax(vecs[i][1])]) if len(vecs[i][0]) else -1, ids[i]))
+        order = sorted(range(len(docs)), key=lambda i: (labels[i], int(vecs[i][0][np.argmax(vecs[i][1])]) if len(vecs[i][0]) else -1, keys[i]))
         vecs = [vecs[i] for i in order]
-        self.labels = np.array([labels[i] for i in order])
-        self.ids = np.array([ids[i] for i in order])
-        n, blocks = len(order), -(-len(order) // BLOCK)
-        self.n = n
-        self.top = np.zeros((len(vocab), blocks))
-        post: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for e, (t, w) in enumerate(vecs):
-            np.maximum.at(self.top, (t, e // BLOCK), w)
-            for a, b in zip(t.tolist(), w.tolist(), strict=True):
-                rows = post.setdefault((a, e // BLOCK), ([], []))
-                rows[0].append(e % BLOCK)
-                rows[1].append(b)
-        self.post = {k: (np.array(i), np.array(w)) for k, (i, w) in post.items()}
-        self.vecs = vecs
+        self.labels = np.array([labels[i] for i in order], np.float64)
+        self.ids = np.array([ids[i] for i in order], np.int64)
+        self.tie = np.argsort(np.argsort(np.array([keys[i] for i in order])))
+        self.n, self.blocks = len(order), -(-len(order) // BLOCK)
+        size = [len(t) for t, _ in vecs]
+        t = np.concatenate([t for t, _ in vecs]) if vecs else np.empty(0, np.int64)
+        w = np.concatenate([w for _, w in vecs]) if vecs else np.empty(0)
+        e = np.repeat(np.arange(self.n), size)
+        by = np.lexsort((e, t))
+        t, self.doc, self.weight = t[by], e[by].astype(np.int32), w[by]
+        part = t * self.blocks + self.doc // BLOCK
+        new = np.flatnonzero(np.diff(part, prepend=-1))
+        self.first = np.append(new, len(part))
+        self.block = (part[new] % max(self.blocks, 1)).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
+        self.entry = np.searchsorted(part[new] // max(self.blocks, 1), np.arange(len(vocab) + 1))
+        self.pos = np.bincount(t, self.labels[self.doc], len(vocab))
+        self.neg = np.bincount(t, 1 - self.labels[self.doc], len(vocab))
+        self.marked = (self.labels.sum(), self.n - self.labels.sum())
+        self.depend = dependence(self.pos, self.neg, *self.marked)
+        self.start = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+        self.terms, self.values = (np.concatenate([v[k] for v in vecs]) if vecs else np.empty(0) for k in (0, 1))
         self.prior, self.scale = 0.0, (1.0, 0.0)
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        found = sorted((self.term[t], n) for t, n in counts.items() if t in self.term)
-        t = np.array([i for i, _ in found], np.int64)
-        w = (1 + np.log([n for _, n in found])) * self.idf[t] if found else np.empty(0)
-        return t, w / np.sqrt(w @ w) if found else w
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1, k: int = K) -> list[tuple[float, int]]:
-        """(cosine, example) of the k best positive cosines, ties by example id."""
+        get = self.term.get
+        t = np.fromiter((get(x, -1) for x in counts), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        known = np.flatnonzero(t >= 0)
+        if not len(known):
+            return np.empty(0, np.int64), np.empty(0)
+        known = known[np.argsort(t[known])]
+        t = t[known]
+        w = (1 + np.log(n[known])) * self.idf[t]
+        return t, w / np.sqrt(w @ w)
+
+    def example(self, e: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.start[e], self.start[e + 1])
+        return self.terms[at].astype(np.int64), self.values[at]
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, depend: np.ndarray, skip: int = -1, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best positive cosines, their examples (ties by text hash), and what
+        the terms that depend on the label add to each, times their dependence."""
+        none = np.empty(0), np.empty(0, np.int64), np.empty(0)
         if not len(t):
-            return []
-        bound = w @ self.top[t]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < best[k - 1][0] - 1e-12:
-                break
-            got = np.zeros(BLOCK)
-            for a, x in zip(t.tolist(), w.tolist(), strict=True):
-                if (a, b) in self.post:
-                    i, y = self.post[a, b]
-                    got[i] += x * y
-            hit = np.flatnonzero(got > 0)
-            best += [(round(float(got[i]), 12), -int(self.ids[b * BLOCK + i]), b * BLOCK + int(i)) for i in hit if b * BLOCK + i != skip]
-            best.sort(reverse=True)
-            del best[max(k, 1):]
-        return [(s, e) for s, _, e in best]
-
-    def votes(self, near: list[tuple[float, int]]) -> float:
+            return none
+        lo, hi = self.entry[t], self.entry[t + 1]
+        ent = _ranges(lo, hi)
+        of = np.repeat(np.arange(len(t)), hi - lo)
+        bound = np.bincount(self.block[ent], w[of] * self.top[ent], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        rank = np.empty(self.blocks, np.int64)
+        rank[order] = np.arange(self.blocks)
+        by = np.argsort(rank[self.block[ent]].astype(np.int16), kind="stable")
+        ent, of = ent[by], of[by]
+        ends = np.cumsum(np.bincount(rank[self.block[ent]], minlength=self.blocks))
+        cos, extra, at, step = np.zeros(self.n), np.zeros(self.n), 0, 8
+        while at < self.blocks and bound[order[at]] > 0:
+            if at:
+                seen = cos[cos > 0]
+                least = np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) >= k else 0.0
+                if bound[order[at]] < least - 1e-12:
+                    break
+            upto = min(at + step, self.blocks)
+            some = slice(ends[at - 1] if at else 0, ends[upto - 1])
+            a, b = self.first[ent[some]], self.first[ent[some] + 1]
+            p, which = _ranges(a, b), np.repeat(of[some], b - a)
+            add = w[which] * self.weight[p]
+            cos += np.bincount(self.doc[p], add, self.n)
+            sure = depend[which] > 0
+            extra += np.bincount(self.doc[p[sure]], add[sure] * depend[which[sure]], self.n)
+            at, step = upto, step * 2
+        if skip >= 0:
+            cos[skip] = 0
+        hit = np.flatnonzero(cos > 0)
+        best = hit[np.lexsort((self.tie[hit], -np.round(cos[hit], 12)))[:k]]
+        return np.round(cos[best], 12), best, extra[best]
+
+    def votes(self, near: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
         """Log odds of the votes and the prior."""
-        w = np.array([s * s for s, _ in near])
-        y = self.labels[[e for _, e in near]] if near else np.empty(0)
-        p = (w @ y + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT) if near else self.prior
+        cos, best, extra = near
+        v = extra + cos**COPY
+        p = (v @ self.labels[best] + PRIOR_WEIGHT * self.prior) / (v.sum() + PRIOR_WEIGHT)
         p = min(max(float(p), 1e-4), 1 - 1e-4)
         return float(np.log(p / (1 - p)))
 
-    def calibrate(self, shares: dict[int, float]) -> None:
-        self.prior = shares.get(1, 0.0)
-        margin = np.array([self.votes(self.nearest(t, w, skip=e)) for e, (t, w) in enumerate(self.vecs)])
-        self.scale = fit_scale(margin, np.where(self.labels == 1, 1.0, -1.0))
+    def left_out(self, e: int) -> float:
+        """The votes on example e as if it were not in the index."""
+        t, w = self.example(e)
+        y = self.labels[e]
+        depend = dependence(self.pos[t] - y, self.neg[t] - (1 - y), self.marked[0] - y, self.marked[1] - (1 - y))
+        return self.votes(self.nearest(t, w, depend, skip=e))
 
     def score(self, counts: dict[str, int]) -> tuple[float, list[int]]:
-        near = self.nearest(*self.vector(counts))
+        t, w = self.vector(counts)
+        near = self.nearest(t, w, self.depend[t])
         a, b = self.scale
-        return float(1 / (1 + np.exp(-(a * self.votes(near) + b)))), [int(self.ids[e]) for _, e in near]
+        return float(1 / (1 + np.exp(-(a * self.votes(near) + b)))), self.ids[near[1]].tolist()
+
+
+def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[int, int, int, Counter]], dict[int, int]]:
+    """(text hash, label, least id, terms) of PER_LABEL distinct labelled texts of
+    each label at most, those of least hash; and the number of labelled texts."""
+    marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
+    own = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
+    texts = cut(own.join(marked, "id").groupBy("h").agg(F.max("y").alias("y"), F.min("id").alias("id")), "marked")
+    counts = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = {r["h"]: (r["y"], r["id"]) for y in sorted(counts) for r in texts.where(F.col("y") == y).orderBy(F.xxhash64("h"), "h").limit(PER_LABEL).collect()}
+    drop(texts)
+    if not drawn:
+        return [], counts
+    # at most 2 * PER_LABEL hashes: a bounded broadcast
+    chosen = docs.sparkSession.createDataFrame([(h,) for h in sorted(drawn)], "h long")
+    pick = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [terms(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], names=["h", "t", "n"])
 
-def select_terms(docs: list[np.ndarray], labels: list[int], names: list[str]) -> list[str]:
-    """Terms that depend on the label, strongest first, TERMS at most. docs holds
-    the distinct term numbers of each example."""
-    pos, neg = np.zeros(len(names)), np.zeros(len(names))
-    for d, y in zip(docs, labels, strict=True):
-        (pos if y else neg)[d] += 1
-    n1, n0 = sum(labels), len(labels) - sum(labels)
-    n, seen = n1 + n0, pos + neg
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = n * (pos * (n0 - neg) - neg * (n1 - pos)) ** 2 / (seen * (n - seen) * float(n1) * n0)
-    one, two = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
-    good = np.flatnonzero((np.nan_to_num(chi, posinf=0) >= LEAST_CHI2) & (seen >= 3) & (np.maximum(one, two) >= LEAST_RATIO * np.minimum(one, two)))
-    return [names[i] for i in sorted(good.tolist(), key=lambda i: (-chi[i], names[i]))[:TERMS]]
+    same: dict[str, str] = {}  # the driver holds each string once
+    out = []
+    for r in pick.select("h", "text").mapInArrow(tally, "h long, t array<string>, n array<int>").toLocalIterator():
+        out.append((r["h"], *drawn[r["h"]], Counter(dict(zip((same.setdefault(t, t) for t in r["t"]), r["n"], strict=True)))))
+    return sorted(out, key=lambda x: x[0]), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index | None:
     """The calibrated index of labelled rows of docs; docs give document frequencies."""
-    spark = docs.sparkSession
-    marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
-    counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    rows, counts = examples(docs, labels, id_col, text_col, label_col)
+    if not rows:
         return None
-    drawn: dict[int, int] = {}
-    for y, n in sorted(counts.items()):
-        odds = min(1.0, 1.5 * PER_LABEL / n)
-        rows = marked.where((F.col("y") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(odds * (1 << 20)) + 1))
-        drawn |= {r["doc_id"]: y for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_LABEL).collect()}
-    # at most 2 * PER_LABEL ids: a bounded broadcast
-    chosen = spark.createDataFrame(sorted(drawn.items()), "doc_id long, y int")
-    pick = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [terms(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], names=["doc_id", "y", "h", "t", "n"])
-
-    # terms become numbers at once: the driver holds each string once
-    number: dict[str, int] = {}
-    seen: dict[int, tuple[int, np.ndarray, np.ndarray, int]] = {}
-    for r in pick.select("doc_id", "y", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")).mapInArrow(tally, "doc_id long, y int, h long, t array<string>, n array<int>").toLocalIterator():
-        if r["doc_id"] not in seen or r["h"] < seen[r["doc_id"]][0]:
-            seen[r["doc_id"]] = (r["h"], np.array([number.setdefault(t, len(number)) for t in r["t"]], np.int32), np.array(r["n"], np.int32), r["y"])
-    if not seen:
-        return None
-    ids = sorted(seen)
-    ys = [seen[i][3] for i in ids]
-    vocab = select_terms([seen[i][1] for i in ids], ys, list(number))
-    wanted = {number[t]: t for t in vocab}
-    vecs = [{wanted[k]: c for k, c in zip(seen[i][1].tolist(), seen[i][2].tolist(), strict=True) if k in wanted} for i in ids]
-    del seen, number
+    vocab = sorted(set().union(*(c for *_, c in rows)))
     n, df = document_frequencies(docs.select(F.col(text_col).alias("text")), vocab)
-    idf = np.log((1 + n) / (1 + np.array([df.get(t, 0) for t in vocab], float))) + 1
-    index = Index(vocab, idf, vecs, ys, ids)
+    index = Index(vocab, np.log((1 + n) / (1 + df)) + 1, [c for *_, c in rows], [y for _, y, _, _ in rows], [i for _, _, i, _ in rows], [h for h, *_ in rows])
     total = sum(counts.values())
-    index.calibrate({y: c / total for y, c in counts.items()})
+    index.prior = counts.get(1, 0) / total
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.left_out(e) for e in b.column(0).to_pylist()], pa.float64())], names=["e", "margin"])
+
+    got = docs.sparkSession.range(0, index.n, 1, 16).withColumnRenamed("id", "e").mapInArrow(left_out, "e long, margin double").collect()
+    margin = np.array([r["margin"] for r in sorted(got)])
+    # each label's examples stand for all texts of that label
+    share = np.where(index.labels == 1, index.prior / max(index.labels.mean(), 1e-9), (1 - index.prior) / max(1 - index.labels.mean(), 1e-9))
+    index.scale = fit_scale(margin, np.where(index.labels == 1, 1.0, -1.0), share)
     return index
 
 
-def document_frequencies(docs: DataFrame, vocab: list[str]) -> tuple[int, dict[str, int]]:
+def document_frequencies(docs: DataFrame, vocab: list[str]) -> tuple[int, np.ndarray]:
     """Rows of docs, and for each term of the vocabulary those that hold it."""
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocab)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, n = shared.value, 0
-        starts = {t for t in at if t[0] == "^"}
         df = np.zeros(len(at), np.int64)
         for b in batches:
             n += b.num_rows
             for x in b.column(0):
                 t = x.as_py()
                 if t:
-                    words = set(_WORD.findall(t.lower()))
-                    df[list({at[p] for k in PREFIXES for p in {"^" + w[:k] for w in words if len(w) > k} & starts} | {at[w] for w in words & at.keys()})] += 1
+                    df[[at[w] for w in set(_WORD.findall(t.lower())) if w in at]] += 1
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *hit.tolist()], pa.int64()), pa.array([n, *df[hit].tolist()], pa.int64())], names=["term", "n"])
 
-    rows = docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    got = {r["term"]: r["n"] for r in rows}
-    return got.pop(-1, 0), {vocab[i]: n for i, n in got.items()}
+    out, n = np.zeros(len(vocab)), 0
+    for r in docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        if r["term"] < 0:
+            n = r["n"]
+        else:
+            out[r["term"]] = r["n"]
+    return n, out
 
 
 def score(df: DataFrame, index: Index | None, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, keep_text: bool = False) -> DataFrame:
@@ -219,21 +262,8 @@ def score(df: DataFrame, index: Index | None, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
-        known = ix.term if ix else {}
-        lengths = sorted({len(t) - 1 for t in known if t[0] == "^"})
         for b in batches:
-            got = []
-            for x in b.column(1):
-                t = x.as_py()
-                found: dict[str, int] = {}
-                if t and ix:
-                    words = Counter(_WORD.findall(t.lower()))
-                    for w in words.keys() & known.keys():
-                        found[w] = words[w]
-                    for k in lengths:
-                        for w in [w for w in words if len(w) > k and "^" + w[:k] in known]:
-                            found["^" + w[:k]] = found.get("^" + w[:k], 0) + words[w]
-                got.append(ix.score(found) if ix else (0.0, []))
+            got = [ix.score(terms(x.as_py())) if ix else (0.0, []) for x in b.column(1)]
             cols = [b.column(k) for k in range(b.num_columns) if keep_text or k != 1]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=[*(f.name for f in rest), "score", "evidence"])
 

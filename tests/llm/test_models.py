@@ -37,6 +37,16 @@ def test_language_without_labels(spark):
     assert op4_language.predict(none.limit(0), one).count() == 0
 
 
+def test_language_of_many_copies_is_learned(spark):
+    copies = spark.range(60_000).selectExpr("id as doc_id", "'el perro y los gatos mas alla' as text", "'es' as lang")
+    rng = random.Random(5)
+    english = spark.createDataFrame([(i, " ".join(rng.choice(SAMPLES["en"].split()) for _ in range(20)), "en") for i in range(500)], "doc_id long, text string, lang string")
+    model = op4_language.fit(copies.unionByName(english))
+    assert model.langs == ["en", "es"]
+    few = op4_language.fit(copies.limit(3000).unionByName(copies.limit(40).selectExpr("doc_id", "concat(text, doc_id) as text", "lang")).unionByName(english))
+    assert few.langs == ["en", "es"]
+
+
 def test_features_in_parts(monkeypatch):
     text = "Straße über alles, déjà vu! " * 40
     whole = op4_language.features(text)
@@ -77,18 +87,52 @@ def test_index_equals_full_scan(spark):
     docs, labels = toxic_docs(spark)
     ix = op9_toxicity.fit(docs, labels)
     full = np.zeros((ix.n, len(ix.term)))
-    for e, (t, w) in enumerate(ix.vecs):
+    for e in range(ix.n):
+        t, w = ix.example(e)
         full[e, t] = w
     rng = random.Random(4)
-    for _ in range(60):
-        t = np.array(sorted(rng.sample(range(len(ix.term)), min(5, len(ix.term)))))
+    for trial in range(60):
+        t = np.array(sorted(rng.sample(range(len(ix.term)), min(rng.choice([2, 5, 60]), len(ix.term)))))
         w = np.array([rng.random() + 0.1 for _ in t])
         w /= np.sqrt(w @ w)
-        cos = full[:, t] @ w
-        want = sorted(((round(float(c), 12), -int(ix.ids[e])) for e, c in enumerate(cos) if c > 0), reverse=True)[: op9_toxicity.K]
-        got = [(s, -int(ix.ids[e])) for s, e in ix.nearest(t, w)]
-        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want]
-        assert [i for _, i in got] == [i for _, i in want]
+        cos = np.round(full[:, t] @ w, 12)
+        want = sorted((e for e in range(ix.n) if cos[e] > 0), key=lambda e: (-cos[e], ix.tie[e]))[: op9_toxicity.K]
+        got, best, extra = ix.nearest(t, w, ix.depend[t])
+        assert np.allclose(got, cos[want], atol=1e-9) and best.tolist() == want, trial
+        assert np.allclose(extra, full[best][:, t] @ (w * ix.depend[t]))
+
+
+def test_every_term_of_every_example_is_indexed(spark):
+    docs, labels = toxic_docs(spark)
+    ix = op9_toxicity.fit(docs, labels)
+    words = {w for r in docs.collect() for w in op9_toxicity.terms(r["text"])}
+    assert set(ix.term) == words and ix.n == docs.select("text").distinct().count()
+
+
+def test_copy_of_an_example_with_rare_words_finds_its_twin(spark):
+    docs, labels = toxic_docs(spark, 100)
+    odd = "quaint zebra vortex gnome thimble walnut orchid"
+    docs, labels = docs.unionByName(spark.createDataFrame([(1000, odd)], docs.schema)), labels.unionByName(spark.createDataFrame([(1000, 1)], labels.schema))
+    ix = op9_toxicity.fit(docs, labels)
+    got = op9_toxicity.score(spark.createDataFrame([(1, odd), (2, odd + " lamp"), (3, "unheard of words")], docs.schema), ix).collect()
+    assert got[0]["score"] >= 0.5 and got[1]["score"] >= 0.5 and got[0]["evidence"][0] == 1000
+    assert got[2]["score"] < 0.5 and got[2]["evidence"] == []
+
+
+def test_toxicity_of_copies_and_ids_in_conflict(spark):
+    docs, labels = toxic_docs(spark, 100)
+    many = docs.where("doc_id = 1").selectExpr("explode(sequence(2000, 6999)) as doc_id", "text")
+    ix = op9_toxicity.fit(docs.unionByName(many.selectExpr("cast(doc_id as long) doc_id", "text")), labels.unionByName(many.selectExpr("cast(doc_id as long) doc_id", "0 as toxic")))
+    assert ix.n == docs.select("text").distinct().count()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_held_out_labels(spark, sf):
+    d = f"/root/testdata/{sf}"
+    got = op9_toxicity.query(spark, d).where("held_out").join(table(spark, d, "labels"), "doc_id").select("toxic", "predicted").collect()
+    bad, clean = [r for r in got if r["toxic"]], [r for r in got if not r["toxic"]]
+    assert sum(r["predicted"] for r in bad) >= (0.9 if len(bad) > 20 else 0.6) * len(bad)
+    assert sum(r["predicted"] for r in clean) <= 0.01 * len(clean)
 
 
 def test_toxicity_edges(spark):
