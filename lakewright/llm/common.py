@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut, drop, shared_dir
 
-__all__ = ["Carried", "components", "cut", "drop", "shared_dir", "table"]
+__all__ = ["Carried", "components", "cut", "drop", "ranked", "shared_dir", "spread_join", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,34 @@ class Carried:
         return df.select(*(F.col(self.alias[n] if n in self.alias else values.get(n.lower(), n)).alias(n) for n in self.names))
 
 
-#: Nodes that take more than 1 / HOT of all edge ends are at most HOT many.
+#: Keys that take more than 1 / HOT of all rows are at most HOT many.
 HOT = 512
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique. Keys that take more than 1 / HOT
+    of left's rows are HOT at most; their rows of right are broadcast, and left's rows
+    of them stay where they are. left is read three times and should be a table."""
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.where(F.col("__n") > max(64, left.count() // HOT)).select(*on, F.lit(True).alias("__hot"))
+    told = left.join(F.broadcast(hot), on, "left")
+    much = told.where("__hot").drop("__hot").join(F.broadcast(right.join(F.broadcast(hot.drop("__hot")), on, "left_semi")), on, how)
+    return much.unionByName(told.where("__hot is null").drop("__hot").join(right, on, how))
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """df with the 1-based number of a row within its group, by order. Rows are dealt
+    by range of group and order, equal ones apart, so a group of any size is split;
+    only the ranges' counts of a group meet, which are as many as there are tasks."""
+    dealt = df.withColumn("__tie", F.rand(7)).repartitionByRange(*group, *order, "__tie").withColumn("__range", F.spark_partition_id())
+    dealt = cut(dealt, "ranges")
+    counts = dealt.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*group, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    nth = F.row_number().over(Window.partitionBy(*group, "__range").orderBy(*order, "__tie"))
+    return dealt.withColumn(name, nth).join(first, [*group, "__range"]).withColumn(name, F.col(name) + F.col("__first")).drop("__range", "__first", "__tie")
+
+
 def with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
     """edges (u, v) with m of least (u, m, n). The edges of hubs, which are HOT at
     most by their counts n, meet a broadcast; only the others are shuffled."""

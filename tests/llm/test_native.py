@@ -135,3 +135,117 @@ def test_trimmed_quotes_of_several_lines(spark):
     got = {(r["conv_id"], r["turn"]): r for r in op2_quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     linked = {k: (r["n_linked"], r["linked_conv_id"], r["linked_turn"], r["parent_turn"]) for k, r in got.items()}
     assert linked == {(1, 0): (0, None, None, None), (1, 1): (0, None, None, 0), (1, 2): (1, 1, 0, 0), (1, 3): (1, 1, 0, 0), (1, 4): (0, None, None, 3), (2, 0): (1, 1, 0, None)}
+
+
+def brute_link(rows):
+    """Links, parents, depths and places of (conv, turn, role, text) rows, one at a time."""
+    norm = lambda t: re.sub(r"\s+", " ", t.lower()).strip()
+    some = lambda ts: {norm(t) for t in ts} - {""}
+    cue = re.compile(r"^\s*.{0,400}\b(?:wrote|writes)\s*:\s*$", re.I)
+    seen = []
+    for conv, turn, role, text in rows:
+        ls = brute_levels(text or "")
+        ls = [(lv, x) for i, (lv, x) in enumerate(ls) if not (i + 1 < len(ls) and ls[i + 1][0] > lv and cue.match(x))]
+        ps = []
+        for lv, x in ls:
+            if ps and ps[-1][0] == lv:
+                ps[-1][1].append(x)
+            else:
+                ps.append((lv, [x]))
+        own = ["\n".join(x) for lv, x in ps if lv == 0]
+        units = some(own) | some(x for lv, x in ls if lv == 0) | {s for t in own for s in some(re.split(r"(?<=[.!?])\s", norm(t)))}
+        quotes = {}
+        for lv, x in ps:
+            t = norm("\n".join(x))
+            if lv and t:
+                quotes[t] = [{t}, some(x), some(re.split(r"(?<=[.!?])\s", t))]
+        seen.append((conv, turn, units, quotes))
+    out = {}
+    for conv in {c for c, *_ in seen}:
+        turns = sorted({t for c, t, *_ in seen if c == conv})
+        parent = {t: turns[i - 1] if i else None for i, t in enumerate(turns)}
+        info = {}
+        for turn in turns:
+            asked = {}
+            for c, t, _, q in seen:
+                if (c, t) == (conv, turn):
+                    asked |= q
+            near, far, n = [], [], 0
+            for ways in asked.values():
+                holds = sorted({(c, t) for c, t, u, _ in seen if any(d and d <= u for d in ways)})
+                a = [t for c, t in holds if c == conv and t < turn]
+                b = [h for h in holds if h[0] != conv]
+                n += bool(a or b)
+                if a:
+                    near.append(min(a))
+                elif b:
+                    far.append(min(b))
+            if near:
+                parent[turn] = max(near)
+            info[turn] = (n, conv if near else min(far)[0] if far else None, max(near) if near else min(far)[1] if far else None)
+        place, order = 0, [turns[0]]
+        while order:
+            t = order.pop()
+            depth, up = 0, t
+            while parent[up] is not None:
+                up, depth = parent[up], depth + 1
+            copies = sum((c, x) == (conv, t) for c, x, *_ in seen)
+            for k in range(copies):
+                out.setdefault((conv, t), []).append((*info[t], parent[t], up, depth, place + k))
+            place += copies
+            order += sorted((x for x in turns if parent[x] == t), reverse=True)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_links_threads_and_places_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    sentence = lambda: " ".join(rng.choices(words, k=rng.randrange(2, 6))).capitalize() + rng.choice(".!?")
+    said, rows = ["Hello there."], []
+    for conv in range(12):
+        turn = rng.randrange(5)
+        for _ in range(rng.randrange(1, 14)):
+            own = [rng.choice([sentence(), sentence() + " " + sentence(), "Hello there."]) for _ in range(rng.randrange(1, 4))]
+            parts = list(own)
+            for _ in range(rng.randrange(0, 3)):
+                src = rng.choice(said).split("\n")
+                k = rng.randrange(len(src))
+                cut = src[k: k + rng.randrange(1, 4)]
+                if rng.random() < 0.3:
+                    cut = [rng.choice(re.split(r"(?<=[.!?])\s", " ".join(cut)))]
+                if rng.random() < 0.3:  # wrapped anew
+                    w = " ".join(cut).split()
+                    cut = [" ".join(w[: len(w) // 2 + 1]), " ".join(w[len(w) // 2 + 1:])]
+                parts.insert(rng.randrange(len(parts) + 1), "\n".join(("> " if rng.random() < 0.8 else ">> ") + x for x in cut))
+                if rng.random() < 0.2:
+                    parts.insert(0, "Bob wrote:")
+            said.append("\n".join(own))
+            rows.append((conv, turn, "user", rng.choice(["\n", "\r\n"]).join(p.replace("\n", "\n") for p in parts)))
+            if rng.random() < 0.1:
+                rows.append(rows[-1])
+            turn += rng.choice([1, 1, 2, 10])
+    want = brute_link(rows)
+    assert sum(x[0][0] for x in want.values()) > 20
+    got = {}
+    for r in op2_quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        got.setdefault((r["conv_id"], r["turn"]), []).append((r["n_linked"], r["linked_conv_id"], r["linked_turn"], r["parent_turn"], r["thread_turn"], r["depth"], r["place"]))
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}
+
+
+def test_original_of_another_conversation_behind_a_later_own_one(spark):
+    rows = [(1, 0, "a", "> the passage\nme"), (1, 5, "a", "the passage"), (2, 0, "b", "the passage"), (3, 0, "b", "the passage")]
+    got = {(r["conv_id"], r["turn"]): r for r in link(spark, rows)}
+    assert (got[1, 0]["n_linked"], got[1, 0]["linked_conv_id"], got[1, 0]["linked_turn"]) == (1, 2, 0)
+
+
+def test_gapped_turns_are_one_thread(spark):
+    got = link(spark, [(1, t, "a", f"m{t}") for t in (10, 20, 30)])
+    assert [(r["turn"], r["parent_turn"], r["thread_turn"], r["depth"], r["place"]) for r in got] == [(10, None, 10, 0, 0), (20, 10, 10, 1, 1), (30, 20, 10, 2, 2)]
+
+
+def test_hot_line_and_many_copies_of_a_turn(spark):
+    rows = [(c, 0, "a", "Hello everyone.") for c in range(400)] + [(c, 1, "b", "> Hello everyone.\nyes") for c in range(400)] + [(7, 3, "c", "same")] * 300
+    got = {(r["conv_id"], r["turn"], r["place"]): r for r in link(spark, rows)}
+    assert len(got) == len(rows) and sorted(p for c, t, p in got if (c, t) == (7, 3)) == list(range(2, 302))
+    assert all(got[c, 1, 1]["linked_conv_id"] == c and got[c, 1, 1]["linked_turn"] == 0 for c in range(400))
