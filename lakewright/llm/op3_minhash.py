@@ -147,12 +147,12 @@ def dealt(n: Column) -> Column:
 
 
 def stars(pairs: DataFrame) -> DataFrame:
-    """Groups of distinct candidate pairs (hub, set, size): blocks of a hub's spokes,
-    each with the hub."""
-    many = pairs.groupBy("hub").agg(blocks(F.count(F.lit(1)), F.sum("size")).alias("n"))
+    """Groups of candidate pairs (hub, set, n): n blocks of a hub's spokes, each with
+    the hub. A spoke's block follows from its row, so no hub is gathered."""
     none = [F.lit(0).alias("band"), F.array().cast("array<long>").alias("bands")]
-    spokes = pairs.join(many, "hub").select(F.col("hub").alias("g"), dealt(F.col("n")).alias("i"), F.lit(0).alias("j"), F.lit(1).alias("side"), "set", F.col("set").alias("component"), *none)
-    hubs = many.select(F.col("hub").alias("g"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.col("hub").alias("set"), F.col("hub").alias("component"), *none)
+    told = pairs.select("hub", "set", dealt(F.col("n")).alias("i")).distinct()
+    spokes = told.select(F.col("hub").alias("g"), "i", F.lit(0).alias("j"), F.lit(1).alias("side"), "set", F.col("set").alias("component"), *none)
+    hubs = told.select("hub", "i").distinct().select(F.col("hub").alias("g"), "i", F.lit(0).alias("j"), F.lit(0).alias("side"), F.col("hub").alias("set"), F.col("hub").alias("component"), *none)
     return spokes.unionByName(hubs)
 
 
@@ -189,11 +189,11 @@ def classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int)
     texts = docs.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     sets = cut(full_sets(texts.join(wanted, ["doc_id", "no_id", "h"]), words).dropDuplicates(["set"]), "sets")
 
-    degree = member.groupBy("set").agg(F.sum("n").alias("degree"))
+    degree = member.groupBy("set").agg(F.sum("n").alias("degree"), F.max("n").alias("most"))
     ranked = member.select("key", "set", "size").join(degree, "set")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "set", "size")).alias("hub")).select("key", F.col("hub.set").alias("hub"), F.col("hub.size").alias("hub_size"))
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "set", "size", "most")).alias("hub")).select("key", F.col("hub.set").alias("hub"), F.col("hub.size").alias("hub_size"), blocks(F.col("hub.most"), F.col("hub.most") * F.col("hub.size")).alias("n"))
     alike = F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * percent
-    pairs = cut(member.select("key", "set", "size").join(hubs, "key").where((F.col("hub") != F.col("set")) & alike).select("hub", "set", "size").distinct(), "pairs")
+    pairs = cut(member.select("key", "set", "size").join(hubs, "key").where((F.col("hub") != F.col("set")) & alike).select("hub", "set", "n").distinct(), "pairs")
     found = cut(components(links_in(stars(pairs), sets, percent)), "components")
     drop(pairs)
 
@@ -201,10 +201,11 @@ def classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int)
     where = mixed(member.drop("n"), found)
     few = [F.min(F.struct(F.xxhash64("set", F.lit(k)).alias("h"), "set", "size")).alias(f"m{k}") for k in range(HUBS)]
     parts = where.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), *few)
-    main = parts.groupBy("key").agg(F.max(F.struct("n", "component", F.array(*(F.col(f"m{k}") for k in range(HUBS))).alias("hubs"))).alias("main")).select("key", F.col("main.component").alias("main"), "main.hubs")
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "component", F.array(*(F.col(f"m{k}") for k in range(HUBS))).alias("hubs"))).alias("main"), F.count(F.lit(1)).alias("parts"))
+    main = main.select("key", F.col("main.component").alias("main"), "main.hubs", "parts")
     tried = parts.select("key", "component", F.col("m0.set").alias("set"), F.col("m0.size").alias("size")).join(main, "key").where("component <> main")
-    tried = tried.select("set", "size", F.explode("hubs").alias("hub")).select(F.col("hub.set").alias("hub"), F.col("hub.size").alias("hub_size"), "set", "size").where(alike)
-    tried = cut(tried.select("hub", "set", "size").distinct(), "pairs")
+    tried = tried.select("set", "size", "parts", F.explode("hubs").alias("hub")).select(F.col("hub.set").alias("hub"), F.col("hub.size").alias("hub_size"), "set", "size", "parts").where(alike)
+    tried = cut(tried.select("hub", "set", blocks(F.col("parts"), F.col("parts") * F.col("hub_size")).alias("n")).distinct(), "pairs")
     found = merged(found, links_in(stars(tried), sets, percent))
     drop(tried)
 

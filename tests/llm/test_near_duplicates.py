@@ -166,3 +166,32 @@ def test_bands_follow_the_limit():
     for percent in (75, 80, 85, 90, 100):
         bands, rows = op3_minhash.banding(percent)
         assert (1 - (percent / 100) ** rows) ** bands <= 1e-4
+
+
+@pytest.mark.parametrize("block", [4, 10_000])
+def test_every_pair_of_a_bucket_is_settled(spark, monkeypatch, block):
+    # chains of near copies around a common text, so that hubs miss many of them
+    monkeypatch.setattr(op3_minhash, "BLOCK", block)
+    rng = random.Random(11)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(90):
+        own = list(base)
+        for k in rng.sample(range(120), rng.choice([4, 9, 14, 20])):
+            own[k] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    sets = {i: brute_sets(t, 1) for i, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in op3_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=1, percent=85).collect()}
+    assert got == groups(sets, linked)
+
+
+def test_deduplicate_keeps_rows_by_id_and_text(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (None, a, "n"), (None, "all by itself " * 9, "m"), (3, "", "e"), (3, "", "e"), (None, None, "e"), (4, b.upper(), "u"), (5, "only one row", "o"), (5, "only one row", "o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `set` string").selectExpr("*", "1 as h", "2 as component")
+    got = op3_minhash.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["set"]) for r in got.collect()) == [(0, "e"), (0, "m"), (1, "x"), (2, "z"), (3, "e"), (3, "e"), (5, "o")]
+    assert op3_minhash.deduplicate(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "lorem ipsum dolor " * 60_000), (2, "lorem ipsum dolor " * 60_000), (3, "sit " * 300_000)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in op3_minhash.deduplicate(long).select("doc_id").collect()) == [1, 3]
