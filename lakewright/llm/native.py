@@ -42,3 +42,23 @@ def find_all(text: Column, pattern: str) -> Column:
 
     nested = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
     return F.aggregate(summed, nested, carry, lambda acc: F.flatten(acc["out"]))
+
+
+def swept(rows: Column, kind: str, joins: Callable[[Column, Column], Column], merge: Callable[[Column, Column], Column]) -> Column:
+    """Sorted rows (array of type kind) folded along: while the next row joins the
+    current one they merge into one, else the current one is put out. Rows are put
+    out in blocks, so that very many of them take linear time in practice."""
+    none, empty = F.lit(None).cast(kind), F.array().cast(f"array<{kind}>")
+
+    def step(acc: Column, r: Column) -> Column:
+        cur, first = acc["cur"], acc["cur"].isNull()
+        joined = F.coalesce(joins(cur, r), F.lit(False))
+        return F.struct(F.when(first | ~joined, r).otherwise(merge(cur, r)).cast(kind).alias("cur"), F.when(first | joined, acc["out"]).otherwise(F.concat(acc["out"], F.array(cur))).alias("out"))
+
+    def block(acc: Column, rs: Column) -> Column:
+        got = F.aggregate(rs, F.struct(acc["cur"].alias("cur"), empty.alias("out")), step)
+        return let(got, lambda g: F.struct(g["cur"].alias("cur"), F.concat(acc["out"], F.array(g["out"])).alias("out")))
+
+    blocks = let(rows, lambda z: F.transform(F.sequence(F.lit(0), ((F.size(z) - 1) / BLOCK).cast("int")), lambda b: F.slice(z, b * BLOCK + 1, F.lit(BLOCK))))
+    start = F.struct(none.alias("cur"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(blocks, start, block, lambda acc: F.when(acc["cur"].isNull(), F.flatten(acc["out"])).otherwise(F.concat(F.flatten(acc["out"]), F.array(acc["cur"]))))

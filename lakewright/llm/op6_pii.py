@@ -1,28 +1,31 @@
 """Personal data by candidate gradient boosting, native.
 
-Base spans are the four fixed patterns with their checks. High-recall generators
-add candidates that the base patterns miss: addresses with spelt-out signs,
-eight-group addresses, card-like numbers, numbers without a country code. They
-may overlap; boosted trees score them by format and context, thresholds that
-were calibrated on unseen examples accept them, and of overlapping accepted
-spans the best stays. Base spans always stay.
-
-Everything is a column expression: no shuffle, no Python on rows. Patterns are
+Base spans are the four fixed patterns with their checks; they always stay. High-recall
+generators, several of each kind and often overlapping, propose further spans: addresses
+with spelt-out or spaced signs, eight-group and shortened addresses, defanged ones, card
+numbers that fail their check, grouped or not, numbers without or with a doubled country
+code. Boosted trees score every candidate by its format and context; they are fitted on
+generated texts that went through these generators, and a threshold for each kind is
+calibrated on other such texts (pii_model.py). Along the text, of overlapping candidates
+the better one stays, and base spans beat all.
+
+Everything on rows is a column expression: no shuffle, no Python. Patterns are
 possessive and anchored to the start of a run, so that they take linear time
 and no stack on texts of any length, and match as the plain forms do.
 
 A null or empty text has no spans. Repeated rows repeat; an empty table gives an
-empty result.
+empty result. Further columns are carried under names that clash with none.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Carried, table
-from .native import SPANS, find_all, let
-from .pii_model import ANTI, CUES, FEATURES, KINDS, model
+from .native import SPANS, find_all, let, swept
+from .pii_model import ANTI, CUES, FEATURES, KINDS, TEXTS, fit, generated, right
 
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -37,12 +40,21 @@ HINT = {
     "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"),
     "phone": lambda t: t.rlike(r"\+[0-9]"),
 }
-EXTRA = {
-    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{2,24}+){1,4}+", r"[\[(](?:at|AT)[\])]"),
-    "ip": (r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}+(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]"),
-    "card": (r"(?<![0-9-])[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{3,4}(?![0-9-])", r"[0-9]{4}[ -][0-9]{4}"),
-    "phone": (r"(?<![0-9+.(-])\(?[0-9]{2,4}+\)?[ .-][0-9]{3,4}+[ .-][0-9]{3,4}+(?![0-9])", r"[0-9]\)?[ .-][0-9]{3}"),
-}
+#: Generators: kind, pattern, and what a text must hold for it to be tried.
+GENERATORS = [
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?:(?: ?[\[(](?:dot|DOT)[\])] ?|\.)[A-Za-z0-9-]{2,24}+){1,4}+", r"[\[(](?:at|AT)[\])]"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ (?:at|AT) [A-Za-z0-9-]{1,63}+(?: (?:dot|DOT) [A-Za-z0-9-]{2,24}+){1,3}+", r" (?:at|AT) [A-Za-z0-9-]{1,63}+ (?:dot|DOT) "),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?@ ?[A-Za-z0-9-]{1,63}+(?: ?\. ?[A-Za-z]{2,24}+){1,3}+", r" @|@ "),
+    ("ip", r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}+(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}+:[0-9A-Fa-f]"),
+    ("ip", r"(?<![0-9A-Za-z_:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+::(?:[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){0,6}+)?(?![0-9A-Za-z_:])", r"[0-9A-Fa-f]::"),
+    ("ip", r"(?<![0-9])[0-9]{1,3}+(?:(?: ?[\[(](?:\.|dot)[\])] ?| \. )[0-9]{1,3}+){3}+(?![0-9])", r"[0-9] ?[\[(](?:\.|dot)[\])]|[0-9] \. [0-9]"),
+    ("card", r"(?<![0-9])[0-9]{13,19}+(?![0-9])", r"[0-9]{13}"),
+    ("card", r"(?<![0-9./-])[0-9]{4}+(?:[ ./-][0-9]{4}){2}[ ./-][0-9]{3,4}+(?![0-9])", r"[0-9]{4}[ ./-][0-9]{4}[ ./-][0-9]{4}"),
+    ("card", r"(?<![0-9-])[0-9]{4}+[ -][0-9]{6}[ -][0-9]{5}+(?![0-9-])", r"[0-9]{4}[ -][0-9]{6}[ -]"),
+    ("phone", r"(?<![0-9+.(-])\(?[0-9]{2,4}+\)?[ .-][0-9]{3,4}+[ .-][0-9]{3,4}+(?![0-9])", r"[0-9]\)?[ .-][0-9]{3}"),
+    ("phone", r"(?<![0-9+.-])\(?0[0-9]{1,4}+\)? ?[/-]? ?[0-9]{2,4}+(?:[ .-]?[0-9]{2,4}+){1,3}+(?![0-9])", r"0[0-9]"),
+    ("phone", r"(?<![0-9+.-])00[1-9][0-9]{0,2}+[ .-][0-9]{2,4}+(?:[ .-]?[0-9]{2,7}+){1,3}+(?![0-9])", r"00[1-9]"),
+]
 #: Code points of context before a candidate.
 CONTEXT = 24
 
@@ -78,31 +90,73 @@ def tree_sql(tree, names: dict[int, Column]) -> Column:
     return F.when(names[f] <= F.lit(limit), tree_sql(left, names)).otherwise(tree_sql(right, names))
 
 
-def features(text: Column, kind: str, r: Column) -> Column:
+def features(text: Column, kind: str, generator: int, r: Column) -> Column:
     """The model's features of candidate r as a struct."""
     before = F.lower(F.substring(text, F.greatest(r["s"] - CONTEXT + 1, F.lit(1)), F.least(r["s"], F.lit(CONTEXT))))
-    word = r"[\p{L}\p{N}_]"
+    word = r"[\p{L}\p{N}_#]"
     d = digits(r["m"])
+    last = F.regexp_replace(before, r"[^\p{L}]+$", "")
     cols = {
         "kind": F.lit(KINDS[kind]),
+        "generator": F.lit(generator),
         "length": r["e"] - r["s"],
         "digits": F.length(d),
         "seps": F.length(F.regexp_replace(r["m"], "[A-Za-z0-9]", "")),
         "before_word": F.when(r["s"] > 0, F.substring(text, r["s"], F.lit(1)).rlike(word)).otherwise(F.lit(False)).cast("int"),
         "after_word": F.substring(text, r["e"] + 1, F.lit(1)).rlike(word).cast("int"),
-        "cue": before.rlike(r"\b(?:" + "|".join(CUES) + r")\b").cast("int"),
-        "anti": before.rlike(r"\b(?:" + "|".join(ANTI) + r")\b").cast("int"),
+        "cue": last.rlike(r"\b(?:" + "|".join(CUES) + r")(?: is)?$").cast("int"),
+        "anti": last.rlike(r"\b(?:" + "|".join(ANTI) + r")(?: no)?$").cast("int"),
         "luhn": F.when(F.length(d).between(13, 19), luhn(d)).otherwise(F.lit(False)).cast("int"),
         "distinct": F.size(F.array_distinct(F.filter(F.split(d, ""), lambda c: c != ""))),
         "groups": F.size(F.split(r["m"], "[^A-Za-z0-9]+")),
+        "first": F.coalesce(F.substring(d, 1, 1).try_cast("int"), F.lit(-1)),
+        "parts": F.forall(F.split(r["m"], "[^0-9]+"), lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255"))).cast("int"),
+        "marks": F.length(F.regexp_replace(r["m"], r"[^\[\]()@]", "")),
+        "space_before": F.when(r["s"] > 0, F.substring(text, r["s"], F.lit(1)).rlike(r"[\s(:,]")).otherwise(F.lit(True)).cast("int"),
+        "letters": F.length(F.regexp_replace(r["m"], "[^A-Za-z]", "")),
     }
     return F.struct(*(cols[n].cast("double").alias(n) for n in FEATURES))
 
 
-def extra_spans(text: Column, kind: str) -> Column:
-    """Accepted candidates of one kind as array<struct<p, s, e>>, p the score."""
-    pattern, hint = EXTRA[kind]
-    trees, limits = model()
+def candidates(text: Column, generator: int) -> Column:
+    """A generator's candidates as array<struct<s, e, m>>."""
+    _, pattern, hint = GENERATORS[generator]
+    return F.when(text.rlike(hint), find_all(text, pattern)).otherwise(F.array().cast(SPANS))
+
+
+_model: list = []
+
+
+def model(spark: SparkSession) -> tuple[list, list[float]]:
+    """Trees and thresholds, fitted once on generated texts that go through the
+    generators and features as all texts do. The driver holds TEXTS texts' features."""
+    if not _model:
+        texts = generated(TEXTS, 7)
+        df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, text string")
+        x, y, unseen = [], [], []
+
+        def told(g: int) -> Column:
+            return F.transform(candidates(F.col("text"), g), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), features(F.col("text"), GENERATORS[g][0], g, r).alias("f")))
+
+        rows = df.select("i", *(told(g).alias(f"g{g}") for g in range(len(GENERATORS))))
+        for r in sorted(rows.collect(), key=lambda r: r["i"]):
+            for g, (kind, _, _) in enumerate(GENERATORS):
+                for c in r[f"g{g}"]:
+                    x.append(tuple(c["f"]))
+                    y.append(right(kind, c["s"], c["e"], texts[r["i"]][1]))
+                    unseen.append(r["i"] % 2 == 1)
+        _model.append(fit(np.array(x), np.array(y, float), np.array(unseen)))
+    return _model[0]
+
+
+SPAN = "struct<s:int,e:int,p:double,kind:string>"
+#: The score of base spans, which beat every candidate.
+BEST = 1e9
+
+
+def accepted(text: Column, generator: int, trees: list, limits: list[float]) -> Column:
+    """A generator's candidates that reach their kind's threshold, as array<SPAN>."""
+    kind = GENERATORS[generator][0]
 
     def scored(r: Column) -> Column:
         def total(f: Column) -> Column:
@@ -111,54 +165,72 @@ def extra_spans(text: Column, kind: str) -> Column:
                 out = out + tree_sql(t, {i: f[n] for i, n in enumerate(FEATURES)})
             return out
 
-        return F.struct(let(features(text, kind, r), total).alias("p"), r["s"].alias("s"), r["e"].alias("e"))
+        return F.struct(r["s"].alias("s"), r["e"].alias("e"), let(features(text, kind, generator, r), total).alias("p"), F.lit(kind).alias("kind"))
 
-    got = F.filter(F.transform(find_all(text, pattern), scored), lambda r: r["p"] >= F.lit(limits[KINDS[kind]]))
-    return F.when(text.rlike(hint), got).otherwise(F.array().cast("array<struct<p:double,s:int,e:int>>"))
+    return F.filter(F.transform(candidates(text, generator), scored), lambda r: r["p"] >= F.lit(limits[KINDS[kind]]))
 
 
-def tagged(rows: Column, kind: str, cost: bool = False) -> Column:
-    """Spans with their kind; cheapest first in order, if they carry a score."""
-    return F.transform(rows, lambda r: F.struct(*([(-r["p"]).alias("cost")] if cost else []), *([] if not cost else [F.lit(kind).alias("kind")]), r["s"].alias("s"), r["e"].alias("e"), *([] if cost else [F.lit(kind).alias("kind")])))
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(id, kept columns, base, added) of every row: base is a struct of span
+    arrays by kind, added an array<struct<s, e, p, kind>> of the method's spans, in order."""
+    trees, limits = model(df.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    first = df.select(F.col(id_col), *(keep or []), text.alias("__text"), *(base_spans(text, k).alias(f"__{k}") for k in BASE), F.flatten(F.array(*(accepted(text, g, trees, limits) for g in range(len(GENERATORS))))).alias("__more"))
+    taken = F.concat(*(F.transform(tagged(F.col(f"__{k}"), k), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), F.lit(BEST).alias("p"), r["kind"].alias("kind"))) for k in BASE))
+    # along the text, of two that overlap the better one stays; base spans merge
+    over = lambda c, r: r["s"] < c["e"]
+    whole = lambda c, r: F.struct(c["s"].alias("s"), F.greatest(c["e"], r["e"]).alias("e"), c["p"].alias("p"), c["kind"].alias("kind"))
+    better = lambda c, r: F.when(r["p"] > c["p"], r).when((r["p"] == c["p"]) & (c["p"] == BEST), whole(c, r)).otherwise(c)
+    every = F.array_sort(F.concat(taken, F.col("__more")).cast(f"array<{SPAN}>"))
+    added = F.filter(swept(every, SPAN, over, better), lambda r: r["p"] < BEST)
+    return first.select(id_col, *(keep or []), "__text", F.struct(*(F.col(f"__{k}").alias(k) for k in BASE)).alias("base"), F.when(F.size("__more") > 0, added).otherwise(F.array().cast(f"array<{SPAN}>")).alias("added"))
 
 
-def of_kind(rows: Column, kind: str) -> Column:
-    return F.filter(rows, lambda r: r["kind"] == kind)
+def tagged(rows: Column, kind: str) -> Column:
+    return F.transform(rows, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), F.lit(kind).alias("kind")))
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, kept columns, base, added) of every row: base is a struct of span
-    arrays by kind, added an array<struct<kind, s, e, p>> of the method's spans."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    first = df.select(F.col(id_col), *(keep or []), text.alias("__text"), *(base_spans(text, k).alias(f"__{k}") for k in BASE), *(extra_spans(text, k).alias(f"__x_{k}") for k in BASE))
-    every = F.flatten(F.array(*(tagged(F.col(f"__x_{k}"), k, True) for k in BASE)))
-    taken = F.concat(*(F.transform(F.col(f"__{k}"), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"))) for k in BASE))
-    clash = lambda rows, r: F.exists(rows, lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"]))
-    free = F.filter(F.array_sort(every), lambda r: ~clash(taken, r))
-    kind = "array<struct<kind:string,s:int,e:int,p:double>>"
-    best = F.aggregate(free, F.array().cast(kind), lambda acc, r: F.when(clash(acc, r), acc).otherwise(F.concat(acc, F.array(F.struct(r["kind"].alias("kind"), r["s"].alias("s"), r["e"].alias("e"), (-r["cost"]).alias("p"))))))
-    some = F.size(every) > 0
-    return first.select(id_col, *(keep or []), "__text", F.struct(*(F.col(f"__{k}").alias(k) for k in BASE)).alias("base"), F.when(some, best).otherwise(F.array().cast(kind)).alias("added"))
+def of_kind(rows: Column, kind: str) -> Column:
+    return F.filter(rows, lambda r: r["kind"] == kind)
 
 
 def spelt(kind: str, rows: Column) -> Column:
     return F.transform(rows, lambda r: F.concat(F.lit(kind + ":"), r["s"].cast("string"), F.lit(":"), r["e"].cast("string")))
 
 
+#: Spans whose surroundings are cut from a text together.
+TOGETHER = 64
+
+
+def replaced(text: Column, rows: Column) -> Column:
+    """text with its sorted, separate spans (s, e, kind) replaced by kinds in brackets.
+    A text is walked once for each block of spans, then only the block's part of it."""
+
+    def blocks(z: Column) -> Column:
+        end = lambda i: F.when(i > 0, F.get(z, i - 1)["e"]).otherwise(F.lit(0))
+
+        def one(b: Column) -> Column:
+            lo = end(b * TOGETHER)
+            hi = F.get(z, F.least((b + 1) * TOGETHER, F.size(z)) - 1)["e"]
+            own = F.sequence(b * TOGETHER, F.least((b + 1) * TOGETHER, F.size(z)) - 1)
+            return let(F.substring(text, lo + 1, hi - lo), lambda part: F.array_join(F.transform(own, lambda i: F.concat(F.substring(part, end(i) - lo + 1, F.get(z, i)["s"] - end(i)), F.lit("["), F.get(z, i)["kind"], F.lit("]"))), ""))
+
+        parts = F.transform(F.sequence(F.lit(0), ((F.size(z) - 1) / TOGETHER).cast("int")), one)
+        return F.concat(F.array_join(parts, ""), F.substring(text, end(F.size(z)) + 1, F.length(text)))
+
+    return F.when(F.size(rows) == 0, text).otherwise(let(rows, blocks))
+
+
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with every span of a row's text replaced by its kind in brackets, in
-    the text column; a null text stays null. Overlapping spans become one."""
+    the text column; a null text stays null. Overlapping spans become one, of the
+    first one's kind."""
     carried = Carried(df, id_col, text_col)
     got = find(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__src"), *carried.keep(), F.col(text_col).isNull().alias("__null")), "__id", "__src", keep=[*carried.alias.values(), "__null"])
-    rows = F.concat(*(tagged(F.col("base")[k], k) for k in BASE), F.transform("added", lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), r["kind"].alias("kind"))))
-
-    def step(acc: Column, r: Column) -> Column:
-        fresh = r["s"] >= acc["at"]
-        text = F.when(fresh, F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, r["s"] - acc["at"]), F.lit("["), r["kind"], F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], r["e"]).alias("at"), text.alias("out"))
-
-    whole = F.aggregate(F.array_sort(rows), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("__text"), a["at"] + 1, F.length(F.col("__text")))))
-    text = F.when(F.col("__null"), F.lit(None)).when(F.size(rows) == 0, F.col("__text")).otherwise(whole)
+    kind = "struct<s:int,e:int,kind:string>"
+    rows = F.array_sort(F.concat(*(tagged(F.col("base")[k], k) for k in BASE), F.transform("added", lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), r["kind"].alias("kind")))).cast(f"array<{kind}>"))
+    apart = swept(rows, kind, lambda c, r: r["s"] < c["e"], lambda c, r: F.struct(c["s"].alias("s"), F.greatest(c["e"], r["e"]).alias("e"), c["kind"].alias("kind")))
+    text = F.when(F.col("__null"), F.lit(None)).otherwise(replaced(F.col("__text"), F.when(F.size(rows) > 1, apart).otherwise(rows)))
     return carried.restore(got.withColumn("__new", text), **{id_col.lower(): "__id", text_col.lower(): "__new"})
 
 
