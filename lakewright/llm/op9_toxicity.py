@@ -4,9 +4,10 @@ Terms are the words of a whole text. The examples are a bounded sample of distin
 labelled texts; every term of every example is in the index, and document
 frequencies come from all documents. The examples' vectors form an inverted index
 in blocks of BLOCK examples: a term keeps its greatest weight in each block, so a
-query's upper bound for a block is a sum of products, and blocks are scored in
-falling order of the bound until none can reach the K-th best cosine. The result
-equals a full scan.
+query's upper bound for a block is a sum of products, and only blocks that can reach
+the K-th best cosine are scored. Terms of very many examples would be in every block;
+they are rows of a matrix instead, and their exact sums are part of the bound. The
+result equals a full scan.
 
 The K neighbours vote by distance against a prior. A neighbour's vote is what the
 shared terms that depend on the label add to the cosine, each times its dependence,
@@ -41,6 +42,9 @@ from .op4_language import fit_scale
 #: Most examples of a label: it bounds the index and what the driver holds.
 PER_LABEL = 1500
 BLOCK, K = 64, 40
+#: Share of the examples above which a term is a row of a matrix, and the texts
+#: that meet the matrix together.
+OFTEN, TOGETHER = 0.03, 64
 #: Standard errors below the log odds ratio at which a term's dependence is read,
 #: weight of the prior in votes, and the power by which near copies decide alone.
 SURE, PRIOR_WEIGHT, COPY = 2.0, 0.02, 16
@@ -70,11 +74,28 @@ class Index:
     first[k]..first[k + 1]; a term's entries are entry[t]..entry[t + 1]."""
 
     def __init__(self, vocab: list[str], idf: np.ndarray, docs: list[dict[str, int]], labels: list[int], ids: list[int], keys: list[int]):
+        at = {t: i for i, t in enumerate(vocab)}
+        pairs = [sorted((at[x], n) for x, n in d.items() if x in at) for d in docs]
+        flat = np.array([p for d in pairs for p in d], np.int32).reshape(-1, 2)
+        self.prior, self.scale = 0.0, (1.0, 0.0)
+        self.__setstate__({"vocab": "\n".join(vocab), "idf": np.asarray(idf, np.float64), "sizes": np.array([len(d) for d in pairs]), "flat": flat, "labels": np.array(labels, np.int8), "ids": np.array(ids, np.int64), "keys": np.array(keys, np.int64), "prior": self.prior, "scale": self.scale})
+
+    def __getstate__(self) -> dict:
+        """What the index is made of; it is sent so, and built where it is used."""
+        return self.source | {"prior": self.prior, "scale": self.scale}
+
+    def __setstate__(self, state: dict) -> None:
+        self.source, self.prior, self.scale, self.idf = state, state["prior"], state["scale"], state["idf"]
+        vocab = state["vocab"].split("\n") if len(state["idf"]) else []
         self.term = {t: i for i, t in enumerate(vocab)}
-        self.idf = idf
-        vecs = [self.vector(d) for d in docs]
+        labels, ids, keys = (state[k].tolist() for k in ("labels", "ids", "keys"))
+        vecs, end = [], np.cumsum(state["sizes"])
+        for lo, hi in zip(end - state["sizes"], end, strict=True):
+            t = state["flat"][lo:hi, 0].astype(np.int64)
+            w = (1 + np.log(state["flat"][lo:hi, 1])) * self.idf[t]
+            vecs.append((t, w / np.sqrt(w @ w) if len(t) else w))
         # examples with alike strongest terms share blocks
-        order = sorted(range(len(docs)), key=lambda i: (labels[i], int(vecs[i][0][np.argmax(vecs[i][1])]) if len(vecs[i][0]) else -1, keys[i]))
+        order = sorted(range(len(vecs)), key=lambda i: (labels[i], int(vecs[i][0][np.argmax(vecs[i][1])]) if len(vecs[i][0]) else -1, keys[i]))
         vecs = [vecs[i] for i in order]
         self.labels = np.array([labels[i] for i in order], np.float64)
         self.ids = np.array([ids[i] for i in order], np.int64)
@@ -84,6 +105,16 @@ class Index:
         t = np.concatenate([t for t, _ in vecs]) if vecs else np.empty(0, np.int64)
         w = np.concatenate([w for _, w in vecs]) if vecs else np.empty(0)
         e = np.repeat(np.arange(self.n), size)
+        self.pos = np.bincount(t, self.labels[e], len(vocab))
+        self.neg = np.bincount(t, 1 - self.labels[e], len(vocab))
+        # terms of very many examples are rows of a matrix, all others are postings
+        often = np.flatnonzero(self.pos + self.neg > max(8.0, self.n * OFTEN))
+        self.row = np.full(len(vocab), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n))
+        many = self.row[t] >= 0
+        self.dense[self.row[t[many]], e[many]] = w[many]
+        t, e, w = t[~many], e[~many], w[~many]
         by = np.lexsort((e, t))
         t, self.doc, self.weight = t[by], e[by].astype(np.int32), w[by]
         part = t * self.blocks + self.doc // BLOCK
@@ -92,13 +123,10 @@ class Index:
         self.block = (part[new] % max(self.blocks, 1)).astype(np.int32)
         self.top = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
         self.entry = np.searchsorted(part[new] // max(self.blocks, 1), np.arange(len(vocab) + 1))
-        self.pos = np.bincount(t, self.labels[self.doc], len(vocab))
-        self.neg = np.bincount(t, 1 - self.labels[self.doc], len(vocab))
         self.marked = (self.labels.sum(), self.n - self.labels.sum())
         self.depend = dependence(self.pos, self.neg, *self.marked)
         self.start = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
         self.terms, self.values = (np.concatenate([v[k] for v in vecs]) if vecs else np.empty(0) for k in (0, 1))
-        self.prior, self.scale = 0.0, (1.0, 0.0)
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         get = self.term.get
@@ -116,43 +144,56 @@ class Index:
         at = slice(self.start[e], self.start[e + 1])
         return self.terms[at].astype(np.int64), self.values[at]
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, depend: np.ndarray, skip: int = -1, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the matrix's terms add to the cosines of queries with all examples."""
+        rows = np.zeros((len(queries), len(self.dense)))
+        for k, (t, w) in enumerate(queries):
+            r = self.row[t]
+            rows[k, r[r >= 0]] = w[r >= 0]
+        return rows @ self.dense
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, depend: np.ndarray, base: np.ndarray | None = None, skip: int = -1, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k best positive cosines, their examples (ties by text hash), and what
-        the terms that depend on the label add to each, times their dependence."""
-        none = np.empty(0), np.empty(0, np.int64), np.empty(0)
+        the terms that depend on the label add to each, times their dependence. base:
+        what frequent() gives. A block's bound is its best base plus the greatest
+        weights of the postings' terms."""
         if not len(t):
-            return none
-        lo, hi = self.entry[t], self.entry[t + 1]
+            return np.empty(0), np.empty(0, np.int64), np.empty(0)
+        cos = (self.frequent([(t, w)])[0] if base is None else base).copy()
+        few = self.row[t] < 0
+        rare, rare_w, rare_d = t[few], w[few], depend[few]
+        lo, hi = self.entry[rare], self.entry[rare + 1]
         ent = _ranges(lo, hi)
-        of = np.repeat(np.arange(len(t)), hi - lo)
-        bound = np.bincount(self.block[ent], w[of] * self.top[ent], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        rank = np.empty(self.blocks, np.int64)
-        rank[order] = np.arange(self.blocks)
-        by = np.argsort(rank[self.block[ent]].astype(np.int16), kind="stable")
-        ent, of = ent[by], of[by]
-        ends = np.cumsum(np.bincount(rank[self.block[ent]], minlength=self.blocks))
-        cos, extra, at, step = np.zeros(self.n), np.zeros(self.n), 0, 8
-        while at < self.blocks and bound[order[at]] > 0:
-            if at:
-                seen = cos[cos > 0]
-                least = np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) >= k else 0.0
-                if bound[order[at]] < least - 1e-12:
-                    break
-            upto = min(at + step, self.blocks)
-            some = slice(ends[at - 1] if at else 0, ends[upto - 1])
-            a, b = self.first[ent[some]], self.first[ent[some] + 1]
-            p, which = _ranges(a, b), np.repeat(of[some], b - a)
-            add = w[which] * self.weight[p]
-            cos += np.bincount(self.doc[p], add, self.n)
-            sure = depend[which] > 0
-            extra += np.bincount(self.doc[p[sure]], add[sure] * depend[which[sure]], self.n)
-            at, step = upto, step * 2
+        of = np.repeat(np.arange(len(rare)), hi - lo)
+        best_base = np.maximum.reduceat(cos, np.arange(0, self.n, BLOCK))
+        bound = best_base + np.bincount(self.block[ent], rare_w[of] * self.top[ent], self.blocks)
+        # k examples have at least this cosine, so no block below it matters
+        least = np.partition(cos, self.n - k)[self.n - k] if self.n >= k and skip < 0 else 0.0
+        some = (bound > 0) & (bound >= least - 1e-12)
+        extra = np.zeros(self.n)
+        if len(ent):
+            if not some.all():
+                use = some[self.block[ent]]
+                ent, of = ent[use], of[use]
+            a, b = self.first[ent], self.first[ent + 1]
+            p, which = _ranges(a, b), np.repeat(of, b - a)
+            add, doc = rare_w[which] * self.weight[p], self.doc[p]
+            cos += np.bincount(doc, add, self.n)
+            sure = np.flatnonzero(rare_d[which])
+            if len(sure):
+                extra = np.bincount(doc[sure], add[sure] * rare_d[which[sure]], self.n)
+        if not some.all():
+            cos[~np.repeat(some, BLOCK)[: self.n]] = 0
         if skip >= 0:
             cos[skip] = 0
-        hit = np.flatnonzero(cos > 0)
-        best = hit[np.lexsort((self.tie[hit], -np.round(cos[hit], 12)))[:k]]
-        return np.round(cos[best], 12), best, extra[best]
+        hit = np.flatnonzero(cos > 1e-12)
+        if len(hit) > 4 * k:
+            hit = hit[cos[hit] >= np.partition(cos[hit], len(hit) - k)[len(hit) - k] - 1e-9]
+        value = np.round(cos[hit], 12)
+        best = hit[np.lexsort((self.tie[hit], -value))[:k]]
+        also = np.flatnonzero(~few & (depend > 0))
+        more = (w[also] * depend[also]) @ self.dense[self.row[t[also]]][:, best] if len(also) else 0.0
+        return np.round(cos[best], 12), best, extra[best] + more
 
     def votes(self, near: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
         """Log odds of the votes and the prior."""
@@ -169,11 +210,15 @@ class Index:
         depend = dependence(self.pos[t] - y, self.neg[t] - (1 - y), self.marked[0] - y, self.marked[1] - (1 - y))
         return self.votes(self.nearest(t, w, depend, skip=e))
 
-    def score(self, counts: dict[str, int]) -> tuple[float, list[int]]:
-        t, w = self.vector(counts)
-        near = self.nearest(t, w, self.depend[t])
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """The score of each text, and the ids of its neighbours, nearest first."""
+        vecs = [self.vector(terms(t)) for t in texts]
         a, b = self.scale
-        return float(1 / (1 + np.exp(-(a * self.votes(near) + b)))), self.ids[near[1]].tolist()
+        out = []
+        for (t, w), base in zip(vecs, self.frequent(vecs), strict=True):
+            near = self.nearest(t, w, self.depend[t], base)
+            out.append((float(1 / (1 + np.exp(-(a * self.votes(near) + b)))), self.ids[near[1]].tolist()))
+        return out
 
 
 def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[int, int, int, Counter]], dict[int, int]]:
@@ -220,6 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.left_out(e) for e in b.column(0).to_pylist()], pa.float64())], names=["e", "margin"])
 
     got = docs.sparkSession.range(0, index.n, 1, 16).withColumnRenamed("id", "e").mapInArrow(left_out, "e long, margin double").collect()
+    shared.destroy()
     margin = np.array([r["margin"] for r in sorted(got)])
     # each label's examples stand for all texts of that label
     share = np.where(index.labels == 1, index.prior / max(index.labels.mean(), 1e-9), (1 - index.prior) / max(1 - index.labels.mean(), 1e-9))
@@ -263,7 +309,10 @@ def score(df: DataFrame, index: Index | None, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for b in batches:
-            got = [ix.score(terms(x.as_py())) if ix else (0.0, []) for x in b.column(1)]
+            got = []
+            for at in range(0, b.num_rows, TOGETHER):
+                texts = b.column(1).slice(at, TOGETHER).to_pylist()
+                got += ix.scores(texts) if ix else [(0.0, [])] * len(texts)
             cols = [b.column(k) for k in range(b.num_columns) if keep_text or k != 1]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=[*(f.name for f in rest), "score", "evidence"])
 
