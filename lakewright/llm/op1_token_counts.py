@@ -1,39 +1,43 @@
 """Token counts by the whole-token shortcut.
 
-Offline, before any text is read, every vocabulary string is split and encoded
-alone; those that are one pre-token and one token form the shortcut table. A
+Offline, before any text is read, every vocabulary string is split and merged from
+its bytes; those that are one pre-token and end in one token form the shortcut table. A
 pre-token in the table counts 1 without merging; only the rest are merged, and
 their counts are remembered in a table that is emptied at a fixed size.
 
 Null and empty texts have 0 bytes and 0 tokens. Rows are independent: repeated
-rows give repeated results, and an empty table gives an empty result.
+rows give repeated results, and an empty table gives an empty result. Further columns
+are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import Codec, codec, default_path
+from .tokens import Codec, codec, default_path, merged
 
 #: Remembered counts of pre-tokens outside the shortcut table (about 40 MB).
 REMEMBERED = 200_000
 
 
-def whole_tokens(c: Codec) -> dict[str, int]:
-    """Vocabulary strings proved to be one pre-token and one token."""
+def whole_tokens(vocab: Iterable[bytes], merges: dict[tuple[bytes, bytes], int], split: regex.Pattern) -> dict[str, int]:
+    """Vocabulary strings proved to be one pre-token and one token: the split leaves
+    them whole, and merging their bytes by rank, with no look at the vocabulary,
+    ends in one token. Strings that merges do not reach are left out."""
     out = {}
-    for raw in c.ranks:
+    for raw in vocab:
         try:
             s = raw.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        m = c.split.match(s)
-        if m and m.end() == len(s) and len(c.piece(raw)) == 1:
+        m = split.match(s)
+        if m and m.end() == len(s) and len(merged([raw[i: i + 1] for i in range(len(raw))], merges)) == 1:
             out[s] = 1
     return out
 
@@ -42,17 +46,16 @@ class Counts(dict):
     """Pre-token -> number of tokens."""
 
     def __init__(self, c: Codec):
-        super().__init__(whole_tokens(c))
+        super().__init__(whole_tokens(c.ranks, c.merges, c.split))
         self.codec, self.limit = c, len(self) + REMEMBERED
         self.whole = dict(self)
 
     def __missing__(self, word: str) -> int:
-        data = word.encode("utf-8")
-        n = len(self.codec.tree(data))
+        n = len(self.codec.unsplit(word))
         if len(self) >= self.limit:
             self.clear()
             self.update(self.whole)
-        if len(data) <= 256:
+        if len(word) <= 128:
             self[word] = n
         return n
 

@@ -1,12 +1,21 @@
 """Byte-level BPE from a public tokenizer file, exact for texts of any length.
 
-`Codec.encode` gives the ids that the tokenizers library gives for the file.
-Texts whose pre-tokens are short go straight to the byte-pair encoder. A long
-pre-token (unsplit text) is encoded by tree concatenation: its halves are
-encoded, then a window around the join is encoded again and grown until it
-agrees with both sides. A seam agrees if the pair of tokens at it encodes to
-itself; a token sequence whose neighbouring pairs all do so is the encoding of
-its bytes, since a merge across a seam would already show in the pair.
+`Codec.encode` gives the ids that the tokenizers library gives for the file. A text
+longer than a leaf is encoded by tree concatenation: its halves are encoded apart,
+then a window around the cut is encoded again and grown until it agrees with both
+sides. There are two kinds of windows.
+
+- Text that splits: a window ends where every split has a boundary, that is where the
+  class of characters (letter, number, white space, other) changes in a way that no
+  pre-token spans. The left half's ids of the window's left part and the right half's
+  ids of its right part must be what the encoder gives for these parts alone; then all
+  other ids stand, and the window's ids replace those between.
+- Unsplit text, one pre-token longer than a leaf: a window is some tokens on each side
+  of the join. A seam agrees if the pair of tokens at it encodes to itself; a token
+  sequence whose neighbouring pairs all do so is the encoding of its bytes, since a
+  merge across a seam would already show in the pair.
+
+Leaves of long texts are encoded by two threads; the encoder holds no lock meanwhile.
 """
 
 from __future__ import annotations
@@ -21,8 +30,10 @@ import tiktoken
 
 # The split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of unsplit text above which it is encoded as a tree.
-LEAF = 4096
+#: Characters above which a text, or one pre-token, is encoded as a tree.
+LEAF = 1024
+#: Characters from which a text's leaves are encoded by two threads.
+THREADS = 1 << 16
 
 
 def default_path() -> str:
@@ -39,6 +50,30 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def merged(piece: list[bytes], rank: dict[tuple[bytes, bytes], int]) -> list[bytes]:
+    """Byte-pair merging by rank, lowest first and leftmost of equals, from single
+    bytes and by merges alone."""
+    while len(piece) > 1:
+        best = min(zip(piece, piece[1:], strict=False), key=lambda p: rank.get(p, len(rank)))
+        if best not in rank:
+            break
+        out, i = [], 0
+        while i < len(piece):
+            if i + 1 < len(piece) and (piece[i], piece[i + 1]) == best:
+                out.append(piece[i] + piece[i + 1])
+                i += 2
+            else:
+                out.append(piece[i])
+                i += 1
+        piece = out
+    return piece
+
+
+_SPACE = regex.compile(r"\s")
+#: Places at which every split has a boundary.
+_BOUND = regex.compile(r"(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])|(?<=[^\s\p{L}\p{N}])(?=[\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=\p{L})")
+
+
 class Codec:
     def __init__(self, path: str, leaf: int = LEAF):
         with open(path, encoding="utf-8") as f:
@@ -49,13 +84,21 @@ class Codec:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
         self.ranks = {bytes(byte[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
+        halves = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        self.merges = {(bytes(byte[c] for c in x), bytes(byte[c] for c in y)): k for k, (x, y) in enumerate(halves)}
+        # the encoder takes ids for ranks: merges must make tokens in the order of their ids
+        made = [self.ranks.get(x + y, -1) for x, y in self.merges]
+        if spec["model"].get("ignore_merges") or any(i >= j for i, j in zip(made, made[1:], strict=False)) or made and made[0] < 0:
+            raise ValueError(f"ids do not follow the merges: {path}")
         self.enc = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens=special)
         self.split = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.leaf = leaf
         self.piece = self.enc._encode_single_piece
+        self.plain = self.enc.encode_ordinary
         self.bytes_of = self.enc.decode_bytes
         self.pool: ThreadPoolExecutor | None = None
+        self.windows = 0
         del spec
 
     # -- unsplit text ------------------------------------------------------
@@ -75,38 +118,82 @@ class Codec:
                 return keep + mid + rest
             k *= 2
 
-    def tree(self, data: bytes) -> list[int]:
-        """Encode one pre-token of any length: leaves in parallel, then joins."""
-        if len(data) <= self.leaf:
-            return self.piece(data)
-        leaves = [data[i: i + self.leaf] for i in range(0, len(data), self.leaf)]
+    def leaves(self, text: str) -> list[list[int]]:
+        """Ids of the text's parts of leaf characters, each alone; in parallel if long."""
+        parts = [text[i: i + self.leaf] for i in range(0, len(text), self.leaf)]
+        if len(text) < THREADS:
+            return [self.plain(p) for p in parts]
         if self.pool is None:
             self.pool = ThreadPoolExecutor(2)
-        parts = list(self.pool.map(self.piece, leaves))
+        return list(self.pool.map(self.plain, parts))
+
+    def unsplit(self, text: str) -> list[int]:
+        """Encode one pre-token of any length: leaves, then joins of tokens."""
+        parts = self.leaves(text)
         while len(parts) > 1:
             parts = [self.join(*parts[i: i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0]
+        return parts[0] if parts else []
+
+    # -- text that splits --------------------------------------------------
+    def joined(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
+        """The ids of text[lo:hi] from those of text[lo:mid] and text[mid:hi]."""
+        w = 16
+        while True:
+            a, b = max(lo, mid - w), min(hi, mid + w)
+            # a contraction looks two characters ahead, so a safe end keeps away from the cut
+            p = next((m.start() for m in reversed(list(_BOUND.finditer(text, a, mid - 2))) if m.start() > a), None) if a > lo else lo
+            q = next((m.start() for m in _BOUND.finditer(text, mid, b) if mid < m.start() < b), None) if b < hi else hi
+            if p is not None and q is not None:
+                tail, head = self.plain(text[p:mid]), self.plain(text[mid:q])
+                if left[len(left) - len(tail):] == tail and right[: len(head)] == head:
+                    self.windows += 1
+                    return left[: len(left) - len(tail)] + self.plain(text[p:q]) + right[len(head):]
+            w *= 2
+
+    def concatenated(self, text: str) -> list[int]:
+        """Encode a text without long pre-tokens: leaves, then joins of windows."""
+        parts, size = self.leaves(text), self.leaf
+        while len(parts) > 1:
+            parts = [self.joined(text, i * size, (i + 1) * size, min((i + 2) * size, len(text)), parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+            size *= 2
+        return parts[0] if parts else []
 
     def has_long(self, text: str) -> bool:
-        """Whether a pre-token may exceed the leaf size."""
-        if len(text) * 4 <= self.leaf:
+        """Whether a pre-token may be longer than a leaf."""
+        if len(text) <= self.leaf:
             return False
         words = text.split()
-        if words and max(map(len, words)) * 4 > self.leaf:
+        if words and max(map(len, words)) >= self.leaf:
             return True
-        return (len(text) - sum(map(len, words)) - len(words)) * 4 > self.leaf
+        return len(text) - sum(map(len, words)) - len(words) >= self.leaf
 
     def _plain(self, text: str) -> list[int]:
         """Ids of a text without special strings that may hold long pre-tokens."""
         out: list[int] = []
         start = end = 0
         for m in self.split.finditer(text):
-            if (m.end() - m.start()) * 4 > self.leaf:
-                out += self.enc.encode_ordinary(text[start: m.start()])
-                out += self.tree(m.group().encode())
+            if m.end() - m.start() > self.leaf:
+                # the text before ends at a boundary; white space at its end may split otherwise
+                out += self._between(text, start, m.start())
+                out += self.unsplit(m.group())
                 start = m.end()
             end = m.end()
-        return out + self.enc.encode_ordinary(text[start:end])
+        return out + self._between(text, start, end)
+
+    def _between(self, text: str, start: int, end: int) -> list[int]:
+        """Ids of text[start:end], both being boundaries of the text's pre-tokens."""
+        body = end
+        while body > start and _SPACE.match(text, body - 1):
+            body -= 1
+        if end == len(text) or body == end or _SPACE.match(text, end):
+            return self.concatenated(text[start:end])
+        # white space before a word splits as the whole text has it
+        out = self.concatenated(text[start:body])
+        for m in self.split.finditer(text, body):
+            if m.start() >= end:
+                break
+            out += self.plain(m.group())
+        return out
 
     # -- whole texts -------------------------------------------------------
     def segments(self, text: str):
@@ -125,16 +212,14 @@ class Codec:
         """uint32 ids of a whole text; null and empty give none."""
         if not text:
             return np.empty(0, np.uint32)
-        if not any(s in text for s in self.special) and not self.has_long(text):
+        if len(text) <= self.leaf and not any(s in text for s in self.special):
             return self.enc.encode_to_numpy(text, disallowed_special=())
         out: list[int] = []
         for part, sid in self.segments(text):
             if sid is not None:
                 out.append(sid)
-            elif self.has_long(part):
-                out += self._plain(part)
             else:
-                out += self.enc.encode_ordinary(part)
+                out += self._plain(part) if self.has_long(part) else self.concatenated(part)
         return np.asarray(out, np.uint32)
 
     def decode(self, ids) -> str:

@@ -35,18 +35,48 @@ def test_encode_equals_library(library):
         assert c.decode(c.encode(t)) == t == library.decode(want(library, t), skip_special_tokens=False)
 
 
-def test_tree_equals_one_piece():
+def test_unsplit_text_equals_one_piece():
     c = Codec(default_path(), leaf=16)
     rng = random.Random(6)
     for _ in range(300):
-        data = "".join(rng.choice(["a", "the", "ing", "é", "x", "tion", "0"]) for _ in range(rng.randrange(1, 200))).encode()
-        assert c.tree(data) == c.piece(data)
+        text = "".join(rng.choice(["a", "the", "ing", "é", "x", "tion", "中"]) for _ in range(rng.randrange(1, 200)))
+        assert c.unsplit(text) == c.piece(text.encode())
 
 
 def test_small_leaf_on_whole_texts(library):
-    c = Codec(default_path(), leaf=16)
-    for t in HARD:
-        assert c.encode(t).tolist() == want(library, t), t[:60]
+    rng = random.Random(7)
+    alphabet = ["a", "the", " ", "  ", "\n", "\t", "'", "'s", "'ll", "1", "23", "!", "é", "中", "\u00a0", "\u3000", "\x1c", "\u0085", "\U0001f600", "$", "\u0301", "²", "ⅷ", "\u200b", "<|endoftext|>"]
+    texts = HARD + ["".join(rng.choices(alphabet, k=rng.randrange(5, 300))) for _ in range(300)]
+    for leaf in (5, 16, 64):
+        c = Codec(default_path(), leaf=leaf)
+        for t in texts:
+            assert c.encode(t).tolist() == want(library, t), (leaf, t[:60])
+        assert c.windows > 100
+
+
+def test_every_code_point_at_a_seam(library):
+    c = Codec(default_path(), leaf=8)
+    points = [p for p in range(0x3000) if not 0xD800 <= p < 0xE000] + list(range(0x3000, 0x110000, 97))
+    points = [p for p in points if not 0xD800 <= p < 0xE000]
+    for at in range(0, len(points), 500):
+        text = "".join(f"ab {chr(p)}c'{chr(p)} 1{chr(p)}{chr(p)}  " for p in points[at: at + 500])
+        assert c.encode(text).tolist() == want(library, text), hex(points[at])
+
+
+def test_documents_go_through_the_tree(library):
+    import pyarrow.parquet as pq
+
+    c = Codec(default_path())
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    for t in texts:
+        assert c.encode(t).tolist() == want(library, t)
+    assert c.windows >= sum(len(t) > 1024 for t in texts) > 100
+
+
+def test_long_texts_in_parallel(library):
+    c = codec(default_path())
+    for text in ("wordy text, " * 20_000, "a" * 200_000, "中文字" * 50_000, " \n" * 60_000 + "x", "\n" * 3000 + "w" * 3000 + "\n\n" + "1" * 3000):
+        assert c.encode(text).tolist() == want(library, text), text[:20]
 
 
 def test_shortcut_counts(library):
@@ -60,6 +90,28 @@ def test_shortcut_counts(library):
         assert counts.of(f"zqx{i}w") == len(want(library, f"zqx{i}w"))
 
 
+def test_the_proof_can_fail():
+    c = codec(default_path())
+    told = op1_token_counts.whole_tokens(c.ranks, c.merges, c.split)
+    assert 49_000 < len(told) <= len(c.ranks)
+    # strings that no merges reach, that merges reach another way, or that split
+    merges = {(b"a", b"b"): 0, (b"b", b"c"): 1, (b"a", b"bc"): 2, (b"x", b"y"): 3, (b" ", b"."): 4, (b"1", b"a"): 5}
+    vocab = [b"a", b"ab", b"bc", b"abc", b"xy", b"zzzq", b" .", b"1a", b"\xff"]
+    assert set(op1_token_counts.whole_tokens(vocab, merges, c.split)) == {"a", "ab", "bc", "xy", " ."}
+
+
+def test_a_file_whose_ids_do_not_follow_its_merges_is_refused(tmp_path):
+    import json
+
+    with open(default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["merges"][10], spec["model"]["merges"][11] = spec["model"]["merges"][11], spec["model"]["merges"][10]
+    path = tmp_path / "swapped.json"
+    path.write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        Codec(str(path))
+
+
 @pytest.fixture(scope="module")
 def frame(spark):
     rows = [(i, t) for i, t in enumerate(HARD)] + [(900, None), (None, "no id"), (3, HARD[3]), (3, HARD[3])]
