@@ -94,6 +94,11 @@ class Lines:
         return at
 
 
+def negotiated(offered: list[str] | None) -> str:
+    """The encoding of columns to use: the first offered one that is known, else UTF-16."""
+    return next((e for e in offered or [] if e in ("utf-8", "utf-16", "utf-32")), "utf-16")
+
+
 def per_file(files: DataFrame, schema: str, f: Callable[[str, str], list[tuple]]) -> DataFrame:
     """The rows that f gives for each (path, text)."""
     names = [c.strip().split(" ")[0] for c in schema.replace("map<string,string>", "map").split(",")]

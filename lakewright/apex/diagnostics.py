@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bind import Program
-from .corpus import Lines, is_trigger, parse_errors, per_file
-from .parser import Node, parse
-from .types import SCALARS, compatible, literal_type
+from .facts import relation
+from .types import SCALARS, compatible
 
 COLUMNS = ["path", "start", "end", "severity", "code", "message"]
 # Annotations by which the platform calls a member, and Database methods that do DML or queries.
@@ -23,7 +22,7 @@ def finding(df: DataFrame, severity: str, code: str, message) -> DataFrame:
 
 
 def syntax_errors(p: Program) -> DataFrame:
-    e = parse_errors(p.files).withColumn("end", F.col("start") + 1)
+    e = relation(p.facts, "errors").withColumn("end", F.col("start") + 1)
     return finding(e, "error", "syntax", F.col("message"))
 
 
@@ -38,6 +37,7 @@ def dead_symbols(p: Program) -> DataFrame:
     required = p.closure.join(p.symbols.where("kind = 'Method' and visibility <> 'private'").select(F.col("container_id").alias("super"), "name_lc", "arity"), "super").select(F.col("sub").alias("container_id"), "name_lc", "arity").distinct()
     interfaces = p.types.where("kind = 'Interface'").select(F.col("id").alias("container_id"))
     out = s.where(~spared).join(used, "id", "left_anti").join(tests, "container_id", "left_anti").join(interfaces, "container_id", "left_anti")
+    out = out.join(p.platform_members(), "id", "left_anti").select(*out.columns)
     keep = out.where("kind <> 'Method'").unionByName(out.where("kind = 'Method'").join(required, ["container_id", "name_lc", "arity"], "left_anti").select(out.columns))
     alone = p.symbols.where("kind = 'Constructor'").groupBy("container_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("container_id", F.lit("Constructor").alias("kind"))
     return keep.join(alone.where("kind is not null"), ["container_id", "kind"], "left_anti")
@@ -93,91 +93,18 @@ def missing_implementations(p: Program) -> DataFrame:
     return finding(gap.join(at, "sub"), "error", "missing", F.concat(F.lit("method '"), F.col("name"), F.lit("' is not implemented")))
 
 
-def terminates(n: Node) -> bool:
-    """Whether control never leaves a statement at its end."""
-    k = n.kind
-    if k in ("ReturnStmt", "ThrowStmt", "BreakStmt", "ContinueStmt"):
-        return True
-    kids = list(n.nodes())
-    if k == "Block":
-        return any(terminates(c) for c in kids)
-    if k == "IfStmt":
-        return len(kids) == 3 and terminates(kids[1]) and terminates(kids[2])
-    if k == "SwitchStmt":
-        whens = [c for c in kids if c.kind == "WhenClause"]
-        return any(c.child("WhenValue") is None for c in whens) and all(terminates(c.child("Block")) for c in whens)
-    if k == "TryStmt":
-        last = n.child("FinallyClause")
-        return last is not None and terminates(last.child("Block"))
-    return k == "DoWhileStmt" and terminates(kids[0])
-
-
 def unreachable(p: Program) -> DataFrame:
-    def rows(path: str, text: str) -> list[tuple]:
-        lines, out = Lines(text), []
-        for b in parse(text, is_trigger(path)).root.walk():
-            if b.kind == "Block":
-                over = False
-                for c in b.nodes():
-                    if over:
-                        out.append((path, lines.byte(c.start), lines.byte(c.end)))
-                        break
-                    over = terminates(c)
-        return out
-
-    return finding(per_file(p.files, "path string, start int, end int", rows), "warning", "unreachable", F.lit("unreachable code"))
+    return finding(relation(p.facts, "unreachable"), "warning", "unreachable", F.lit("unreachable code"))
 
 
 def type_mismatches(p: Program) -> DataFrame:
     """Initialisers, returned values and arguments whose own type cannot become
     the declared one. What is not known for certain passes."""
-
-    def known(n: Node) -> str | None:
-        while n.kind == "ParenExpr":
-            n = n.children[1]
-        if n.kind == "LiteralExpr":
-            return literal_type(n.children[0].kind, n.children[0].text)
-        return "".join(t.text for t in n.child("Type").tokens()) if n.kind in ("CastExpr", "NewExpr") and n.child("Type") else None
-
-    def rows(path: str, text: str) -> list[tuple]:
-        lines, out = Lines(text), []
-
-        def test(want: str, value: Node) -> None:
-            got = known(value)
-            if got and compatible(want, got) is False:
-                out.append((path, lines.byte(value.start), lines.byte(value.end), f"{got} cannot become {want}"))
-
-        for n in parse(text, is_trigger(path)).root.walk():
-            want = "".join(t.text for t in n.child("Type").tokens()) if n.child("Type") else ""
-            if n.kind in ("LocalVarDeclStmt", "FieldDecl") and want:
-                for d in n.nodes():
-                    if d.kind == "VarDeclarator" and len(d.children) > 2:
-                        test(want, d.children[2])
-            elif n.kind == "MethodDecl" and n.child("Block"):
-                for r in n.child("Block").walk():
-                    if r.kind == "ReturnStmt" and len(r.children) > 2:
-                        test(want, r.children[1])
-        return out
-
-    own = per_file(p.files, "path string, start int, end int, message string", rows)
-
-    def args(path: str, text: str) -> list[tuple]:
-        lines, out = Lines(text), []
-        for n in parse(text, is_trigger(path)).root.walk():
-            lst = n.child("ArgList") if n.kind in ("CallExpr", "MethodCallExpr", "NewExpr") else None
-            if lst is None:
-                continue
-            name = n.children[0] if n.kind == "CallExpr" else n.child("Type") if n.kind == "NewExpr" else [c for c in n.nodes() if c.kind == "DeclName"][-1]
-            for k, a in enumerate(lst.nodes()):
-                got = known(a)
-                if got and got.lower() in SCALARS:
-                    out.append((path, lines.byte(name.start), k, lines.byte(a.start), lines.byte(a.end), got))
-        return out
-
-    given = per_file(p.files, "path string, at int, k int, start int, end int, got string", args)
+    own = relation(p.facts, "mismatches").select("path", "start", "end", "message")
+    given = relation(p.facts, "args")
     calls = p.refs.where("kind in ('method','new') and target_id is not null").select("path", F.col("start").alias("at"), "rid", F.col("target_id").alias("callee"))
     sure = calls.groupBy("path", "at").agg(F.countDistinct("callee").alias("n")).where("n = 1").select("path", "at")
-    params = p.symbols.where("kind in ('Method','Constructor')").select(F.col("id").alias("callee"), F.posexplode(F.split("params", ",")).alias("k", "want"))
+    params = p.symbols.where("kind in ('Method','Constructor')").select(F.col("id").alias("callee"), F.posexplode(F.split("params", ";")).alias("k", "want"))
     # every pair of scalars that certainly does not fit: a fixed, small table
     bad = [(w, g) for w in sorted(SCALARS) for g in sorted(SCALARS) if compatible(w, g) is False]
     never = p.files.sparkSession.createDataFrame(bad, "want_lc string, got_lc string")
@@ -230,13 +157,31 @@ def all_findings(p: Program) -> DataFrame:
 
 def dead_code_fixes(p: Program) -> DataFrame:
     """(path, start, end, new_text, status): deletions of dead declarations,
-    the outermost of nested ones."""
-    d = dead_symbols(p).where("kind in ('Method','Field','Property','LocalVar')").select("path", "start", "end").distinct()
+    the outermost of nested ones. Of a declaration with several declarators the dead
+    ones go alone, with a comma; the whole goes when all are dead."""
+    dead = dead_symbols(p).where("kind in ('Method','Field','Property','LocalVar')").select("id", F.lit(True).alias("dead"))
+    w = Window.partitionBy("path", "start", "end").orderBy("decl_start")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = p.symbols.where("kind in ('Method','Field','Property','LocalVar')").join(dead, "id", "left").withColumn("dead", F.coalesce("dead", F.lit(False)))
+    s = s.withColumn("alive_before", F.sum((~F.col("dead")).cast("int")).over(w)).withColumn("alive", F.sum((~F.col("dead")).cast("int")).over(every))
+    s = s.withColumn("prev_end", F.lag("decl_end").over(w)).withColumn("next_start", F.lead("decl_start").over(w)).where("dead")
+    part = (F.col("declarators") > 1) & (F.col("alive") > 0)
+    lo = F.when(part & (F.col("alive_before") == 0), F.col("decl_start")).when(part, F.col("prev_end")).otherwise(F.col("start"))
+    hi = F.when(part & (F.col("alive_before") == 0), F.col("next_start")).when(part, F.col("decl_end")).otherwise(F.col("end"))
+    d = s.select("path", lo.alias("start"), hi.alias("end")).distinct()
     w = Window.partitionBy("path").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("m", F.max("end").over(w))
     return d.select("path", "start", "end", F.lit("").alias("new_text"), F.when(F.col("m") >= F.col("end"), "subsumed").otherwise("apply").alias("status"))
 
 
+def unresolved_kinds(p: Program) -> DataFrame:
+    """(path, start, end, why) of unresolved uses: an unknown name, a member that a
+    known receiver lacks, or a receiver whose type is not known."""
+    u = p.refs.where("outcome = 'Unresolved'")
+    why = F.when(F.col("receiver").isNull(), "unknown name").when(F.col("receiver") == "?", "receiver of unknown type").otherwise("no such member")
+    return u.select("path", "start", "end", why.alias("why"))
+
+
 def located(p: Program) -> DataFrame:
     """All findings with 1-based line and column (in bytes) instead of offsets."""
     from ..operators.relations import line_col, line_table

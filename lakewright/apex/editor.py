@@ -8,13 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bind import Program
+from .bind import LOCALS, Program
 from .corpus import Lines, is_trigger, nodes, per_file
 from .lexer import COMMENTS
 from .parser import parse
 
 FOLDS = ("ClassBody", "InterfaceBody", "Block", "EnumDecl", "SwitchStmt", "PropertyDecl", "SoqlExpr")
-LOCALS = ("LocalVar", "Parameter", "CatchVar", "ForEachVar", "SwitchBindingVar")
 
 
 def enclosing(p: Program, points: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -215,3 +214,43 @@ def reorder_parameters(p: Program, target_id: str, order: list[int]) -> DataFram
     sites = p.symbols.where(F.col("id") == target_id).select("path", F.col("name_start").alias("at"))
     sites = sites.unionByName(p.refs.where((F.col("target_id") == target_id) & F.col("kind").isin("method", "new")).select("path", F.col("start").alias("at")))
     return lists.join(sites.distinct(), ["path", "at"]).select("path", "start", "end", "new_text")
+
+
+def schema_location(p: Program, fields: DataFrame) -> DataFrame:
+    """(path, start, end, source_path): the metadata file of each field that a query
+    names; fields as metadata.fields gives them."""
+    f = fields.select(F.lower("object").alias("o"), F.lower("api_name").alias("n"), "source_path")
+    u = p.refs.where("kind = 'soql_field'").withColumn("n", F.element_at(F.split(F.lower("name"), r"\."), 1))
+    return u.join(f, (F.lower("receiver") == F.col("o")) & (u["n"] == f["n"])).select("path", "start", "end", "source_path")
+
+
+def label_location(p: Program, labels: DataFrame) -> DataFrame:
+    """(path, start, end, source_path): the file of each label that code names."""
+    l = labels.select(F.lower("full_name").alias("l"), "source_path")
+    return p.refs.where("outcome = 'Label'").join(l, F.lower("name") == F.col("l")).select("path", "start", "end", "source_path")
+
+
+def page_location(p: Program, pages: DataFrame) -> DataFrame:
+    """(id, page): pages that name a class as their controller or extension."""
+    c = pages.select(F.col("path").alias("page"), F.explode("controllers").alias("name_lc"))
+    return p.types.join(c, "name_lc").select("id", "page")
+
+
+def visible_candidates(p: Program, type_id: str, from_id: str) -> DataFrame:
+    """member_candidates of a type that can be seen from another type: public ones,
+    protected ones from below, private ones inside the same outermost type."""
+    tops = {r["id"]: r["top_id"] for r in p.owner.where(F.col("id").isin(type_id, from_id)).select("id", "top_id").collect()}
+    below = bool(p.closure.where((F.col("sub") == from_id) & (F.col("super") == type_id)).take(1)) or from_id == type_id
+    seen = member_candidates(p, type_id).join(p.symbols.select("id", "visibility"), "id")
+    inside = tops.get(type_id) == tops.get(from_id)
+    return seen.where(F.col("visibility").isin("public", "global") | ((F.col("visibility") == "protected") & F.lit(below or inside)) | ((F.col("visibility") == "private") & F.lit(inside)))
+
+
+def library_candidates(p: Program, class_name: str) -> DataFrame:
+    """(name, arity) of a platform class's members, properties with arity -1."""
+    return p.library.where(F.col("class_lc") == class_name.lower()).select(F.col("name_lc").alias("name"), "arity").distinct()
+
+
+def expression_types(p: Program) -> DataFrame:
+    """(path, start, end, type_text) of uses whose type as an expression is known."""
+    return p.refs.select("rid", "path", "start", "end").distinct().join(p.result_types, "rid").select("path", "start", "end", "type_text")

@@ -31,6 +31,7 @@ class Semantics:
     week_start: int = 6  # Sunday
     fiscal_start: int = 1
     nulls_first: bool = True
+    ignore_case: bool = False  # = and != on texts; LIKE always ignores case
     timezone: str = "UTC"
     labels: dict[str, dict[str, str]] = field(default_factory=dict)
     rates: dict[str, float] = field(default_factory=dict)
@@ -81,6 +82,8 @@ class Scope:
         parent = self.cat.get(target)
         if parent is None:
             raise QueryError(f"unknown object {target!r}")
+        if len(parent.id_fields) > 1:
+            raise QueryError(f"{parent.name} has an id of several fields, which {by} does not name")
         self.n += 1
         new = f"{self.tag}{self.n}"
         on = F.col(f"`{tag}__{by}`") == F.col(f"`{new}__{parent.id_fields[0]}`")
@@ -221,10 +224,11 @@ class Compiler:
             got = reduce(lambda a, b: a | b, each)
             return got if op == "includes" else ~got
         if op == "like":
-            if isinstance(right, Literal):
-                return left.ilike(right.value)
-            return F.lower(left).like(self.literal(right))
+            got = right.value if isinstance(right, Literal) else self.bind(right.name)
+            return reduce(lambda a, b: a | b, (left.ilike(str(g)) for g in (got if isinstance(got, (list, tuple, set)) else (got,))))
         v = self.literal(right)
+        if self.sem.ignore_case and isinstance(right, (Literal, Bind)) and isinstance(right.value if isinstance(right, Literal) else self.bind(right.name), str):
+            left, v = F.lower(left.cast("string")), F.lower(v)
         return {"=": left == v, "!=": left != v, "<": left < v, "<=": left <= v, ">": left > v, ">=": left >= v}[op]
 
     def where(self, s: Scope, cond, aliases: dict | None = None) -> None:
@@ -248,9 +252,12 @@ class Compiler:
             if p.op == "in":
                 s.df = s.df.join(inner, F.col("__key") == F.col("__in"), "left_semi")
             else:
-                # NOT IN is null-aware: a null on either side leaves no row
+                # NOT IN is null-aware: a null on either side leaves no row, but
+                # every row stays if there is nothing to compare with
                 nulls = inner.where("__in is null").limit(1).select(F.lit(1).alias("__n"))
-                s.df = s.df.where("__key is not null").join(inner.where("__in is not null"), F.col("__key") == F.col("__in"), "left_anti").join(nulls, F.lit(True), "left_anti")
+                some = inner.limit(1).select(F.lit(1).alias("__n"))
+                kept = s.df.where("__key is not null").join(inner.where("__in is not null"), F.col("__key") == F.col("__in"), "left_anti").join(nulls, F.lit(True), "left_anti")
+                s.df = kept.unionByName(s.df.where("__key is null").join(some, F.lit(True), "left_anti"))
             s.df = s.df.drop("__key")
 
     # -- queries -----------------------------------------------------------
@@ -370,18 +377,37 @@ class Compiler:
         if link is None:
             raise QueryError(f"no relationship {e.path.parts[-1]!r} on {entity.name}")
         kind = F.col(f"`{tag}__{link.type_field}`") if link.type_field else F.lit(link.targets[0])
-        got: dict[str, Column | None] = {}
-        for target, paths in e.whens:
-            if target.lower() not in {t.lower() for t in link.targets}:
-                raise QueryError(f"{e.path} never refers to {target}")
-            parent, new = s.join(entity, tag, link.field, target, link.type_field, next(t for t in link.targets if t.lower() == target.lower()))
+        got: dict[str, Column] = {}
+
+        def take(target: str, paths, must: bool) -> set[str]:
+            parent, new = s.join(entity, tag, link.field, target, link.type_field, target)
+            found = set()
             for p in paths:
                 name = self.cat.field(s.columns(parent), p.parts[-1])
                 if name is None:
-                    raise QueryError(f"no field {p} on {parent.name}")
+                    if must:
+                        raise QueryError(f"no field {p} on {parent.name}")
+                    continue
+                found.add(p.parts[-1].lower())
                 c = F.col(f"`{new}__{name}`").cast("string")
                 old = got.get(name)
                 got[name] = c if old is None else F.coalesce(old, c)
+            return found
+
+        named = {t.lower(): t for t in link.targets}
+        for target, paths in e.whens:
+            if target.lower() not in named:
+                raise QueryError(f"{e.path} never refers to {target}")
+            take(named[target.lower()], paths, True)
+        if e.otherwise:
+            # the other kinds of target give the fields of ELSE that they have
+            rest = [t for t in link.targets if t.lower() not in {w.lower() for w, _ in e.whens}]
+            found = set().union(*(take(t, e.otherwise, False) for t in rest))
+            for p in e.otherwise:
+                if rest and p.parts[-1].lower() not in found:
+                    raise QueryError(f"no field {p} on {', '.join(rest)}")
+                if not rest:
+                    got.setdefault(p.parts[-1], F.lit(None).cast("string"))
         return F.struct(kind.alias("type"), *(c.alias(n) for n, c in got.items()))
 
     def child(self, s: Scope, q: Query, tag: str) -> tuple[DataFrame, Column]:
@@ -389,10 +415,13 @@ class Compiler:
         link = self.cat.child(s.entity, q.source)
         if link is None:
             raise QueryError(f"no child relationship {q.source!r} on {s.entity.name}")
-        inner = self.scope(Query(q.items, link[0], q.alias, all_rows=q.all_rows, for_=q.for_, update=q.update), tag)
+        if len(s.entity.id_fields) > 1:
+            raise QueryError(f"{s.entity.name} has an id of several fields, which {q.source} does not name")
+        inner = self.scope(Query(q.items, link[0], q.alias, all_rows=q.all_rows, for_=q.for_, update=q.update, scope=q.scope), tag)
         items = [(self.expr(i.expr, inner), i.alias or self.default_name(i.expr)) for i in q.items]
         orders = [self.order(o, self.expr(o.expr, inner)) for o in q.order]
         self.where(inner, q.where)
+        self.with_(q, inner)
         fk = F.col(f"`{tag}__{link[1]}`")
         ids = self.cat.get(link[0]).id_fields
         ties = [F.col(f"`{tag}__{c}`") for c in ids]

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (local runs)."""
+    """spark.checkpoint.dir. A local session without one gets a temporary folder; a
+    cluster has no folder that driver and executors share by itself, so it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lakewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

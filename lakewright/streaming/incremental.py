@@ -1,19 +1,26 @@
 """Incremental views of a changing source tree, by Structured Streaming.
 
 Changes come as rows (path, version, text); a null text is a removal. The newest
-version of a path wins, whatever order rows arrive in. A batch recomputes only
-the files whose content changed, and the closure only if declarations did.
+version of a path wins, whatever order rows arrive in. A batch parses only the files
+whose content changed. References are bound again when a batch changed anything, and
+only the changed files are parsed for it; the inheritance closure is kept unless
+declarations changed. Every batch's state lies in the folder under its number, so a
+query that starts again from its checkpoint goes on from the state of its last batch.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..apex import bind
-from ..storage import cut, drop
+from ..apex.facts import facts, relation
+from ..storage import shared_dir
+from ..storage import _fs as fs_of
 
 CHANGES = "path string, version long, text string"
 
@@ -29,8 +36,9 @@ def newest(changes: DataFrame) -> DataFrame:
 
 
 def apply_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
-    """files (path, version, text) after changes; older versions are ignored."""
-    return newest(files.unionByName(newest(changes))).where("text is not null")
+    """files (path, version, text) after changes; older versions are ignored. A removal
+    stays as a row without text, so that an older version cannot bring the file back."""
+    return newest(files.unionByName(newest(changes)))
 
 
 def dirty(files: DataFrame, changes: DataFrame) -> DataFrame:
@@ -49,34 +57,97 @@ def declarations(symbols: DataFrame) -> DataFrame:
 
 
 class Incremental:
-    """State between batches: files, their symbols and their uses."""
+    """State between batches: files, their facts, and the program bound from them."""
 
-    def __init__(self, spark: SparkSession):
-        self.files = spark.createDataFrame([], CHANGES)
-        self.symbols = spark.createDataFrame([], bind.SYMBOLS)
-        self.uses = spark.createDataFrame([], bind.REFS)
-        self.version = 0
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        """folder: where states are kept; a new one in the shared folder if not given."""
+        self.spark = spark
+        self.folder = (folder or f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}").rstrip("/")
         self.rebinds = 0
+        self.version = 0
+        self.files = spark.createDataFrame([], CHANGES)
+        self.facts = facts(spark.createDataFrame([], "path string, text string"))
+        self._program: bind.Program | None = None
+        self._closure: DataFrame | None = None
+        last = self._last()
+        if last:
+            self._load(*last)
+
+    # -- states ------------------------------------------------------------
+    def _last(self) -> tuple[int, int] | None:
+        fs, p = fs_of(self.spark, f"{self.folder}/states")
+        if not fs.exists(p):
+            return None
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        done = [n for n in names if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/states/{n}/meta/_SUCCESS"))]
+        if not done:
+            return None
+        name = max(done, key=int)
+        meta = json.loads(self.spark.read.text(f"{self.folder}/states/{name}/meta").first()[0])
+        return int(name), meta["rebinds"]
+
+    def _load(self, version: int, rebinds: int) -> None:
+        at = f"{self.folder}/states/{version}"
+        self.version, self.rebinds = version, rebinds
+        self.files = self.spark.read.parquet(f"{at}/files")
+        self.facts = self.spark.read.parquet(f"{at}/facts")
+        self._program = None
+
+    def _store(self, version: int, files: DataFrame, known: DataFrame) -> None:
+        """The state of a batch; the one before the last goes."""
+        at = f"{self.folder}/states/{version}"
+        files.write.mode("overwrite").parquet(f"{at}/files")
+        known.write.mode("overwrite").parquet(f"{at}/facts")
+        meta = self.spark.createDataFrame([(json.dumps({"rebinds": self.rebinds}),)], "value string")
+        meta.coalesce(1).write.mode("overwrite").text(f"{at}/meta")
+        old, self.version = self.version, version
+        self._load(version, self.rebinds)
+        fs, p = fs_of(self.spark, f"{self.folder}/states")
+        for s in fs.listStatus(p):
+            if s.getPath().getName().isdigit() and int(s.getPath().getName()) not in (old, version):
+                fs.delete(s.getPath(), True)
+
+    # -- views -------------------------------------------------------------
+    @property
+    def symbols(self) -> DataFrame:
+        return relation(self.facts, "symbols")
+
+    @property
+    def uses(self) -> DataFrame:
+        return relation(self.facts, "uses")
+
+    @property
+    def program(self) -> bind.Program:
+        """The relations bound from the kept facts: no file is parsed for it."""
+        if self._program is None:
+            self._program = bind.Program(self.files.where("text is not null").select("path", "text"), known=self.facts)
+            self._program._closure = self._closure
+        return self._program
 
     def batch(self, changes: DataFrame, epoch: int) -> None:
-        """For foreachBatch. A batch seen before changes nothing, since its
-        versions are not newer."""
-        todo = cut(dirty(self.files, changes), "dirty")
-        old = (self.files, self.symbols, self.uses)
-        before = declarations(self.symbols)
-        self.files = cut(apply_changes(self.files, changes), "files")
-        if todo.take(1):
-            live = todo.where("text is not null")
-            self.symbols = cut(self.symbols.join(todo.select("path"), "path", "left_anti").select(self.symbols.columns).unionByName(bind.symbols(live)), "symbols")
-            self.uses = cut(self.uses.join(todo.select("path"), "path", "left_anti").select(self.uses.columns).unionByName(bind.uses(live)), "uses")
-            after = declarations(self.symbols)
-            moved = before.exceptAll(after).take(1) or after.exceptAll(before).take(1)
-            self.rebinds += bool(moved)
-            for df in old[1:]:
-                drop(df)
-        drop(old[0])
-        drop(todo)
-        self.version = epoch + 1
+        """For foreachBatch. A batch seen before changes nothing: its number is not
+        above that of the state, and its versions are not newer."""
+        if epoch + 1 <= self.version:
+            return
+        todo = dirty(self.files, changes).persist()
+        try:
+            files = apply_changes(self.files, changes)
+            if not todo.take(1):
+                self._store(epoch + 1, files, self.facts)
+                return
+            before = declarations(self.symbols)
+            kept = self.facts.join(todo.select("path"), "path", "left_anti").select(self.facts.columns)
+            known = kept.unionByName(facts(todo.where("text is not null")))
+            after = declarations(relation(known, "symbols"))
+            moved = bool(before.exceptAll(after).take(1) or after.exceptAll(before).take(1))
+            self.rebinds += moved
+            if moved:
+                self._closure = None
+            elif self._program is not None:
+                self._closure = self._program.closure
+            self._store(epoch + 1, files, known)
+        finally:
+            todo.unpersist()
 
 
 def start(changes: DataFrame, state: Incremental, checkpoint: str, trigger: str = "500 milliseconds", then: Callable[[Incremental], None] | None = None):

@@ -124,4 +124,14 @@ def test_stream(spark, tmp_path):
     put("3", [("B.cls", 3, None), ("A.cls", 0, "class Old { }")])
     q.processAllAvailable()
     q.stop()
-    assert state.rebinds == 2 and state.files.count() == 1 and state.symbols.where("path = 'B.cls'").count() == 0 and state.symbols.where("name = 'Old'").count() == 0
+    assert state.rebinds == 2 and state.files.where("text is not null").count() == 1 and state.symbols.where("path = 'B.cls'").count() == 0 and state.symbols.where("name = 'Old'").count() == 0
+    # a new process goes on from the last batch's state, and binds without parsing
+    again = Incremental(spark, state.folder)
+    assert again.version == state.version and again.rebinds == 2 and again.symbols.where("name = 'hi'").count() == 1
+    assert again.program.refs.where("target_id is not null").count() == state.program.refs.where("target_id is not null").count() > 0
+    put("4", [("C.cls", 1, "public class C { void go(A a) { a.hi('q', 1).length(); } }"), ("B.cls", 2, "class Late { }")])
+    q = start(spark.readStream.schema("path string, version long, text string").json(str(src)), again, str(tmp_path / "cp"), "100 milliseconds")
+    q.processAllAvailable()
+    q.stop()
+    assert again.rebinds == 3 and again.symbols.where("name = 'Late'").count() == 0
+    assert again.program.refs.where("path = 'C.cls' and name = 'hi' and outcome = 'Resolved'").count() == 1
