@@ -327,6 +327,8 @@ LOCALS = ("LocalVar", "Parameter", "CatchVar", "ForEachVar", "SwitchBindingVar")
 # Words that are no names, and what platform interfaces ask for.
 RESERVED = set("abstract and as break by catch class continue delete do else enum extends false final finally for from global if implements in insert instanceof interface limit merge new not null on or override private protected public return select static super switch testmethod this throw transient true try undelete update upsert virtual void webservice when where while".split())
 INTERFACES = {"comparable": "compareto", "comparator": "compare", "schedulable": "execute", "queueable": "execute", "database.batchable": "start execute finish", "iterator": "hasnext next", "iterable": "iterator", "callable": "call", "installhandler": "oninstall", "uninstallhandler": "onuninstall"}
+# Types of the language that no file declares.
+BUILTIN = set("string integer long double decimal boolean date datetime time id blob object void sobject list set map iterator iterable exception type system database test schema json math limits userinfo trigger apexpages pagereference http httprequest httpresponse comparable schedulable queueable callable".split())
 #: Most rounds in which types of chained receivers are found.
 CHAIN = 24
 
@@ -541,16 +543,18 @@ class Program:
                 l = self.labels.select(F.lower("full_name").alias("l_name")).distinct().withColumn("__label", F.lit(True))
                 out = out.join(l, (F.col("kind") == "field") & F.lower("receiver").isin("label", "system.label") & (F.col("name_lc") == F.col("l_name")), "left")
                 label = F.coalesce("__label", F.lit(False))
-            unknown = field = F.lit(False)
+            unknown = field = record = F.lit(False)
+            builtin = F.col("kind").isin("type", "new") & (F.col("name_lc").isin(*sorted(BUILTIN)) | F.col("name_lc").startswith("database.") | F.col("name_lc").startswith("system."))
             if self.schema is not None:
                 objects = self.schema.select(F.lower("object").alias("s_obj")).distinct()
                 fields = self.schema.where("field is not null").select(F.lower("object").alias("f_obj"), F.lower("field").alias("f_name")).distinct()
                 typed_recv = base_of(F.when(F.col("receiver").startswith(":"), F.col("receiver")))
-                out = out.withColumn("__obj", F.when(F.col("kind") == "soql_object", F.col("name_lc")).when(F.col("kind") == "soql_field", F.lower("receiver")).when(F.col("kind") == "field", typed_recv))
+                out = out.withColumn("__obj", F.when(F.col("kind") == "soql_object", F.col("name_lc")).when(F.col("kind") == "soql_field", F.lower("receiver")).when(F.col("kind") == "field", typed_recv).when(F.col("kind").isin("type", "new"), F.col("name_lc")))
                 out = out.join(objects, F.col("__obj") == F.col("s_obj"), "left").join(fields, F.col("kind").isin("soql_field", "field") & (F.col("__obj") == F.col("f_obj")) & (F.element_at(F.split("name_lc", r"\."), 1) == F.col("f_name")), "left")
                 unknown = F.col("kind").isin("soql_object", "soql_field") & (F.col("s_obj").isNull() | (F.col("kind") == "soql_field") & F.col("f_name").isNull())
                 field = (F.col("kind") == "field") & F.col("f_name").isNotNull()
-            outcome = F.when(F.col("target_id").isNotNull(), "Resolved").when(label, "Label").when(F.coalesce("__lib", F.lit(False)), "Library").when(unknown, "UnknownSchema").when(field, "SchemaField").when(F.col("kind").isin("soql_object", "soql_field"), "SchemaObject").when(F.col("kind").isin("dml", "soql", "sosl", "soql_child"), "Statement").otherwise("Unresolved")
+                record = F.col("kind").isin("type", "new") & F.col("s_obj").isNotNull()
+            outcome = F.when(F.col("target_id").isNotNull(), "Resolved").when(label, "Label").when(F.coalesce("__lib", F.lit(False)) | builtin, "Library").when(record, "SchemaObject").when(unknown, "UnknownSchema").when(field, "SchemaField").when(F.col("kind").isin("soql_object", "soql_field"), "SchemaObject").when(F.col("kind").isin("dml", "soql", "sosl", "soql_child"), "Statement").otherwise("Unresolved")
             refs = out.select("rid", "path", "ref", "kind", "name", "receiver", "arity", "start", "end", "within_id", "type_id", "top_id", "in_loop", "target_id", outcome.alias("outcome"))
             self._refs = cut(refs, "refs")
             self._result = cut(typed, "result_types")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,29 +11,12 @@ from .functions.text import collapse, flagged_regex, glob_regex, identifier, quo
 from .operators import relations
 from .plans.compiler import Semantics, soql
 from .plans.search import sosl
+from .registry import ORACLE_SQL, QUERIES, plain, query
 from .sources.catalogue import star_schema
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 AS_OF = date(1998, 6, 15)
 
 
-def plain(df: DataFrame) -> DataFrame:
-    """Whole numbers as BIGINT and decimals as DOUBLE, as the SQL gives them."""
-    kinds = {"int": "bigint", "smallint": "bigint", "tinyint": "bigint", "float": "double"}
-    return df.select(*(F.col(f"`{n}`").cast("double" if t.startswith("decimal") else kinds.get(t, t)).alias(n) for n, t in df.dtypes))
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: plain(f(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 def ask(name: str, text: str, sql: str, binds: dict | None = None, semantics: Semantics | None = None) -> None:
     QUERIES[name] = lambda spark, sf_dir: plain(soql(star_schema(spark, sf_dir), text, binds, semantics or Semantics(as_of=AS_OF)))
     ORACLE_SQL[name] = sql
@@ -80,8 +62,12 @@ for _name, _formula, _lo, _hi in [
 ask("soql_date_formula_after", "SELECT o_orderkey FROM Orders WHERE o_orderdate > LAST_YEAR AND o_orderdate <= THIS_MONTH AND o_orderdate != THIS_WEEK",
     "SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderdate < DATE '1998-07-01' AND NOT (o_orderdate >= DATE '1998-06-14' AND o_orderdate < DATE '1998-06-21')")
 ask("soql_like", "SELECT p_partkey, p_name FROM Part WHERE p_name LIKE '%a%' AND (NOT p_type LIKE 'standard%')", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%a%' AND NOT (p_type ILIKE 'standard%')")
-ask("soql_null", "SELECT doc_id, Document__r.lang lang FROM Label WHERE Document__r.doc_id != null AND Document__r.source = null",
-    "SELECT l.doc_id, d.lang FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id WHERE d.doc_id IS NOT NULL AND d.source IS NULL")
+ask("soql_null", "SELECT event_id, note FROM Event WHERE note = null", "SELECT event_id, CAST(NULL AS VARCHAR) AS note FROM events WHERE event_id % 4 = 0")
+ask("soql_not_null", "SELECT event_id, note FROM Event WHERE note != null AND (NOT note LIKE 'c%')", "SELECT event_id, event_type AS note FROM events WHERE event_id % 4 <> 0 AND NOT event_type ILIKE 'c%'")
+ask("soql_not_in_null_key", "SELECT event_id FROM Event WHERE note NOT IN (SELECT event_type FROM Event WHERE event_id < 0)", "SELECT event_id FROM events")
+ask("soql_not_in_with_nulls", "SELECT c_custkey FROM Customer WHERE c_name NOT IN (SELECT note FROM Event)", "SELECT c_custkey FROM customer WHERE c_name NOT IN (SELECT CASE WHEN event_id % 4 <> 0 THEN event_type END FROM events)")
+ask("soql_like_bind", "SELECT p_partkey FROM Part WHERE p_name LIKE :pattern OR p_type LIKE :other", "SELECT p_partkey FROM part WHERE p_name ILIKE '%B%' OR p_type ILIKE 'sMALL%'", binds={"pattern": "%B%", "other": "sMALL%"})
+ask("soql_ignore_case", "SELECT o_orderkey FROM Orders WHERE o_orderstatus = 'f' AND o_orderpriority != :p", "SELECT o_orderkey FROM orders WHERE lower(o_orderstatus) = 'f' AND lower(o_orderpriority) <> '1-urgent'", binds={"p": "1-Urgent"}, semantics=Semantics(as_of=AS_OF, ignore_case=True))
 ask("soql_includes", "SELECT event_id, tags FROM Event WHERE tags INCLUDES ('click;high', 'purchase') AND tags EXCLUDES ('low')",
     f"""WITH e AS (SELECT event_id, event_type || ';' || CASE WHEN {money('value')} > 50 THEN 'high' ELSE 'low' END AS tags FROM events)
     SELECT event_id, tags FROM e WHERE (list_has_all(string_split(tags, ';'), ['click', 'high']) OR list_has_all(string_split(tags, ';'), ['purchase'])) AND NOT list_has_all(string_split(tags, ';'), ['low'])""")
@@ -113,6 +99,13 @@ def soql_typeof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", F.col("What.type").alias("kind"), F.col("What.c_name").alias("cust"), F.col("What.s_name").alias("supp"))
 
 
+@query("soql_typeof_else", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Customer' WHEN 1 THEN 'Supplier' ELSE 'Part' END AS kind, CASE event_id % 3 WHEN 0 THEN c_name END AS cust, CASE event_id % 3 WHEN 1 THEN s_name END AS supp, CASE event_id % 3 WHEN 2 THEN p_name END AS part
+    FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN supplier ON user_id = s_suppkey LEFT JOIN part ON user_id = p_partkey""")
+def soql_typeof_else(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = soql(star_schema(spark, sf_dir), "SELECT event_id, TYPEOF What WHEN Customer THEN c_name ELSE s_name, p_name END FROM Event")
+    return df.select("event_id", F.col("What.type").alias("kind"), F.col("What.c_name").alias("cust"), F.col("What.s_name").alias("supp"), F.col("What.p_name").alias("part"))
+
+
 @query("soql_distance", """SELECT c_custkey, round(2 * 6371.0 * asin(sqrt(least(pow(sin(radians(48.5 - (c_custkey % 90)) / 2), 2) + cos(radians(c_custkey % 90)) * cos(radians(48.5)) * pow(sin(radians(2.25 - (c_custkey % 180)) / 2), 2), 1.0))), 6) AS km FROM customer""")
 def soql_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = star_schema(spark, sf_dir)
@@ -129,15 +122,43 @@ def soql_data_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return soql(star_schema(spark, sf_dir), "SELECT p_partkey FROM Part WITH DATA CATEGORY p_brand BELOW Top", semantics=sem)
 
 
-@query("sosl_documents", "SELECT 'Document' AS object, doc_id AS id FROM documents WHERE (text ILIKE '%license%' AND text ILIKE '%apache%') OR (source ILIKE '%license%' AND source ILIKE '%apache%') UNION ALL SELECT 'Page', page_id FROM pages WHERE (url ILIKE '%license%' OR html ILIKE '%license%') AND (url ILIKE '%apache%' OR html ILIKE '%apache%')")
+def word(column: str, text: str) -> str:
+    """SQL for a search word in a column, as a whole word."""
+    return f"regexp_matches({column}, '(?:^|[^\\p{{L}}\\p{{N}}_]){text}(?:$|[^\\p{{L}}\\p{{N}}_])', 'i')"
+
+
+@query("sosl_documents", f"SELECT 'Document' AS object, doc_id AS id FROM documents WHERE ({word('text', 'license')} OR {word('source', 'license')}) AND ({word('text', 'apache')} OR {word('source', 'apache')}) UNION ALL SELECT 'Page', page_id FROM pages WHERE ({word('url', 'license')} OR {word('html', 'license')}) AND ({word('url', 'apache')} OR {word('html', 'apache')})")
 def sosl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sosl(star_schema(spark, sf_dir), "FIND {license AND apache} IN ALL FIELDS RETURNING Document(doc_id), Page(page_id)")
     return got["Document"].select(F.lit("Document").alias("object"), F.col("doc_id").alias("id")).unionAll(got["Page"].select(F.lit("Page").alias("object"), F.col("page_id").alias("id")))
 
 
+_GAP = r"[^\p{L}\p{N}_]+"
+
+
+@query("sosl_groups", f"SELECT doc_id FROM documents WHERE ({word('text', 'the')} OR {word('text', 'und')}) AND {word('text', 'with')} AND NOT ({word('text', f'apache{_GAP}license')} OR {word('text', 'by')})")
+def sosl_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = star_schema(spark, sf_dir)
+    cat.get("Document").search = {"all": ("text",)}
+    return sosl(cat, 'FIND {(the OR und) AND with AND NOT ("apache license" OR by)} IN ALL FIELDS RETURNING Document(doc_id)')["Document"]
+
+
+@query("sosl_wildcards", r"SELECT n_nationkey FROM nation WHERE regexp_matches(n_name, '(?:^|[^\p{L}\p{N}_])(?:united[\p{L}\p{N}_]*|[\p{L}\p{N}_]*an|j[\p{L}\p{N}_]{3}an)(?:$|[^\p{L}\p{N}_])', 'i')")
+def sosl_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sosl(star_schema(spark, sf_dir), "FIND {united* OR *an OR j???an} IN NAME FIELDS RETURNING Nation(n_nationkey)")["Nation"]
+
+
+@query("sosl_overall_limit", "SELECT object, count(*) AS n FROM (SELECT 'Nation' AS object FROM nation WHERE n_name ILIKE '%a%' UNION ALL SELECT 'Region' FROM (SELECT 1 FROM region WHERE r_name ILIKE '%a%' LIMIT 3)) GROUP BY object")
+def sosl_overall_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = star_schema(spark, sf_dir)
+    n = cat.frame(cat.get("Nation")).where(F.lower("n_name").contains("a")).count()
+    got = sosl(cat, f"FIND {{*a*}} IN NAME FIELDS RETURNING Nation(n_name), Region(r_name) LIMIT {n + 3}")
+    return got["Nation"].select(F.lit("Nation").alias("object")).unionAll(got["Region"].select(F.lit("Region").alias("object"))).groupBy("object").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("sosl_where_order_limit", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%a%' AND p_size > 10 ORDER BY p_size DESC, p_partkey LIMIT 20 OFFSET 5")
 def sosl_where_order_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sosl(star_schema(spark, sf_dir), "FIND :word IN NAME FIELDS RETURNING Part(p_partkey, p_name WHERE p_size > 10 ORDER BY p_size DESC, p_partkey LIMIT 20 OFFSET 5)", {"word": "a"})["Part"]
+    return sosl(star_schema(spark, sf_dir), "FIND :word IN NAME FIELDS RETURNING Part(p_partkey, p_name WHERE p_size > 10 ORDER BY p_size DESC, p_partkey LIMIT 20 OFFSET 5)", {"word": "*a*"})["Part"]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,14 +211,15 @@ def text_line_col(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.line_col(points, relations.line_table(docs, "doc_id", "text"), "doc_id")
 
 
-_EDGES = """(SELECT c_custkey AS a, c_custkey * 7 % 50 AS b FROM customer WHERE c_custkey < 60 UNION SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey < 40)"""
+_EDGES = """(SELECT c_custkey AS a, c_custkey * 7 % 50 AS b FROM customer UNION SELECT c_custkey, c_nationkey FROM customer)"""
 
 
 @query("graph_closure", f"""WITH RECURSIVE e AS (SELECT DISTINCT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM {_EDGES} WHERE a <> b), t AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a) SELECT a, b FROM t WHERE a <> b""")
 def graph_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each customer reaches by two cyclic rules over all customers."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    one = c.where("c_custkey < 60").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % 50).alias("b"))
-    two = c.where("c_custkey < 40").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").cast("long").alias("b"))
+    one = c.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % 50).alias("b"))
+    two = c.select(F.col("c_custkey").alias("a"), F.col("c_nationkey").cast("long").alias("b"))
     return relations.closure(one.union(two).distinct(), "a", "b").select("a", "b")
 
 
@@ -258,63 +280,4 @@ def duplicate_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("r", F.row_number().over(w)).where("r > 1").select("conv_id", "turn", "role")
 
 
-# -- source code -------------------------------------------------------------
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, text): source files made from the test tables, one per part and
-    customer, so that a corpus grows with the scale factor."""
-    # parsing is bound by CPU, and a small table comes in one partition
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")
-    k, up = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 7).cast("string")
-    cls = F.concat(
-        F.lit("public virtual class Part"), k, F.when(F.col("p_partkey") % 7 != F.col("p_partkey"), F.concat(F.lit(" extends Part"), up)).otherwise(""), F.lit(" {\n    private Integer size = "), F.col("p_size").cast("string"),
-        F.lit(";\n    public virtual Decimal price(List<Orders> rows) {\n        for (Orders o : rows) {\n            List<Lineitem> items = [SELECT l_quantity, l_nothing FROM Lineitem WHERE l_orderkey = :o.o_orderkey];\n            update items;\n        }\n        return helper(size);\n    }\n    private Decimal helper(Integer n) { return n * "),
-        F.col("p_retailprice").cast("string"), F.lit("; }\n    private String label() { return '"), F.regexp_replace("p_name", "['\\\\]", ""), F.lit("'; }\n}\n"),
-    )
-    return p.select(F.concat(F.lit("src/Part"), k, F.lit(".cls")).alias("path"), cls.alias("text"))
-
-
-@query("source_search", "SELECT 'src/Part' || p_partkey || '.cls' AS path, 5 AS line, 36 AS col, 'Lineitem' AS o FROM part WHERE p_partkey IS NOT NULL")
-def source_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .apex.corpus import search
-
-    hits = search(source_files(spark, sf_dir), "for (...) { ... ^[SELECT ... FROM $o ...] ... }", ands=["$o ~ line*"])
-    return hits.select("path", "line", "col", F.col("binds")["o"].alias("o"))
-
-
-@query("source_rewrite", "SELECT 'src/Part' || p_partkey || '.cls' AS path, 'changed' AS status, 1 AS edits FROM part")
-def source_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .apex.corpus import rewrite
-
-    return rewrite(source_files(spark, sf_dir), "${[SELECT ... FROM $o ...]}", ["$1 => Selector.query('$1:quote')"]).select("path", "status", "edits")
-
-
-@query("source_symbols", "SELECT kind, count(*) AS n FROM (SELECT unnest(['Class', 'Field', 'Method', 'Method', 'Method', 'Parameter', 'Parameter', 'ForEachVar', 'LocalVar']) AS kind FROM part) GROUP BY kind")
-def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .apex.bind import symbols
-
-    return symbols(source_files(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("source_inheritance", "SELECT 'Part' || p_partkey AS sub, 'Part' || (p_partkey % 7) AS super, 1 AS depth FROM part WHERE p_partkey % 7 <> p_partkey AND p_partkey % 7 IN (SELECT p_partkey FROM part)")
-def source_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .apex.bind import Program
-
-    p = Program(source_files(spark, sf_dir))
-    n = p.symbols.select("id", "name")
-    c = p.closure
-    return c.join(n.select(F.col("id").alias("sub"), F.col("name").alias("a")), "sub").join(n.select(F.col("id").alias("super"), F.col("name").alias("b")), "super").select(F.col("a").alias("sub"), F.col("b").alias("super"), "depth")
-
-
-@query("source_findings", """SELECT path, code, message FROM (SELECT 'src/Part' || p_partkey || '.cls' AS path FROM part) CROSS JOIN (VALUES ('bulk', 'a query inside a loop'), ('bulk', 'DML inside a loop'), ('schema', 'unknown field ''l_nothing'' on ''Lineitem'''), ('dead', 'method ''label'' is never used')) AS f(code, message)""")
-def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .apex import diagnostics
-    from .apex.bind import Program
-
-    cat = star_schema(spark, sf_dir)
-    rows = [(e.name, c) for e in cat.entities.values() for c in cat.frame(e).columns]
-    p = Program(source_files(spark, sf_dir), spark.createDataFrame(rows, "object string, field string"))
-    found = [diagnostics.bulkification(p), diagnostics.unknown_schema(p), diagnostics.dead_code(p).where("message like 'method %label%'"), diagnostics.syntax_errors(p), diagnostics.unreachable(p)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.select("path", "code", "message")
+from . import source_queries  # noqa: E402,F401  registers its queries

@@ -82,6 +82,7 @@ def star_schema(spark: SparkSession, sf_dir: str) -> Catalogue:
 
     def activity(df: DataFrame) -> DataFrame:
         what = F.when(F.col("event_id") % 3 == 0, "Customer").when(F.col("event_id") % 3 == 1, "Supplier").otherwise("Part")
+        df = df.withColumn("note", F.when(F.col("event_id") % 4 != 0, F.col("event_type")))
         return df.withColumn("what_type", what).withColumn("tags", F.concat_ws(";", F.col("event_type"), F.when(F.col("value") > 50, "high").otherwise("low")))
 
     n = {"Nation__r": Lookup("nationkey", ("Nation",))}
