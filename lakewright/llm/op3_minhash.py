@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, table
+from .common import components, cut, drop, spread_join, table
 from .shingles import band_keys, set_key, shingle_set, signature
 
 #: Bins of a band, most bands of so many bins, and the greatest chance that a
@@ -225,9 +225,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     where 100 * intersection >= percent * union of their sets of word shingles."""
     rows, found = classes(df, id_col, text_col, words, percent)
     own = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).join(found, "set", "left")
-    own = own.where("component is not null or n > 1").withColumn("component", F.coalesce("component", "set"))
+    own = cut(own.where("component is not null or n > 1").withColumn("component", F.coalesce("component", "set")), "own")
     ids = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = cut(own.join(ids, "component").select("set", "component_id"), "of")
+    of = cut(spread_join(own, ids, ["component"]).select("set", "component_id"), "of")
     out = rows.select("doc_id", "n_shingles", "set").join(of, "set", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

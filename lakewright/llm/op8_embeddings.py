@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, table
+from .common import components, cut, drop, spread_join, table
 
 #: Most pivots of a length of vectors, and those up to which all are compared.
 MAX_PIVOTS, FLAT, HEADS = 65_536, 4096, 12
@@ -221,8 +221,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     degree = links.groupBy("node").agg(F.sum("n_links").alias("linked"))
     found = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = reps.select("key", "node", "n").join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = cut(named, "named")
     least = named.groupBy("component").agg(F.min("node").alias("component_id"))
-    of = named.join(least, "component").join(degree.select(F.col("node").alias("key"), "linked"), "key", "left")
+    of = spread_join(named, least, ["component"]).join(degree.select(F.col("node").alias("key"), "linked"), "key", "left")
     of = cut(of.select("key", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links")).where("n_links > 0"), "of")
     drop(links)
     out = rows.select("id", "key").join(of, "key", "left")

@@ -195,3 +195,48 @@ def test_deduplicate_keeps_rows_by_id_and_text(spark):
     assert op3_minhash.deduplicate(df.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "lorem ipsum dolor " * 60_000), (2, "lorem ipsum dolor " * 60_000), (3, "sit " * 300_000)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in op3_minhash.deduplicate(long).select("doc_id").collect()) == [1, 3]
+
+
+def links_of(x, labels, limit=0.93):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return (u @ u.T >= limit) & (labels[:, None] == labels[None]) & ~np.eye(len(x), dtype=bool)
+
+
+@pytest.mark.parametrize("flat", [4096, 40])
+def test_recall_of_links_near_the_limit(spark, monkeypatch, flat):
+    monkeypatch.setattr(op8_embeddings.Pivots.__init__, "__defaults__", (flat,))
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(150, 24))
+    x = base[rng.integers(0, 150, 1200)] + 0.22 * rng.normal(size=(1200, 24))
+    x = np.concatenate([x, base[0] + 0.15 * rng.normal(size=(600, 24))])  # a third of all rows
+    labels = rng.integers(0, 2, len(x))
+    want = links_of(x, labels)
+    rows = [(i, [float(c) for c in v], int(y)) for i, (v, y) in enumerate(zip(x, labels, strict=True))]
+    got = {r["vec_id"]: r for r in op8_embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = sum(r["n_links"] for r in got.values())
+    assert 0.99 * want.sum() <= found <= want.sum()
+    assert all(got[i]["n_links"] <= want[i].sum() for i in got)
+
+
+def test_two_level_pivots_find_the_nearest():
+    rng = np.random.default_rng(8)
+    ref = op8_embeddings.unit(rng.normal(size=(2000, 16)))
+    x = op8_embeddings.unit(rng.normal(size=(300, 16)))
+    exact = op8_embeddings.Pivots(ref, flat=5000).nearest(x, 8)
+    near = op8_embeddings.Pivots(ref, flat=100).nearest(x, 8)
+    assert np.mean([len(set(a) & set(b)) / 8 for a, b in zip(exact, near, strict=True)]) > 0.8
+
+
+def test_batches_do_not_split_block_pairs():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for p in range(30):
+        v = rng.normal(size=4)
+        rows += [{"label": "a", "dim": 4, "p": p, "q": p + 1, "i": 0, "j": 0, "block": 0, "key": bytes([p, k]), "n": 1, "prefix": [p, p + 1], "v": (v + 0.01 * k).tobytes()} for k in range(int(rng.integers(1, 6)))]
+    t = pa.Table.from_pylist(rows, schema=pa.schema([("label", pa.string()), ("dim", pa.int32()), ("p", pa.int32()), ("q", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("key", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int32())), ("v", pa.binary())]))
+    whole = [r for b in op8_embeddings.verified(iter(t.to_batches()), 0.93) for r in b.to_pylist()]
+    for size in (1, 2, 3, 7):
+        parts = [r for b in op8_embeddings.verified(iter(t.to_batches(max_chunksize=size)), 0.93) for r in b.to_pylist()]
+        assert parts == whole and len(whole) > 20
