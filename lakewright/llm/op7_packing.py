@@ -12,7 +12,7 @@
 
 A null or empty text has the closing id alone. Repeated rows are packed each.
 An empty table gives an empty result. A sequence is padded to 1024, except
-where its length is a power of two.
+where its length is a power of two. Further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .tokens import codec, default_path
 SIZE = 1024
 #: Rank ranges that may be broadcast; more are joined by a shuffle.
 BROADCAST_SLOTS = 50_000
+#: Ranks of a length that are joined together.
+BUCKET = 4096
 
 
 def shortest_pack_first(hist: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -108,11 +110,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = by_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     small = len(rows) <= BROADCAST_SLOTS
-    # each task's run of a length meets the ranges that it touches, then pieces join by task and length
-    runs = first.join(by_task, ["part", "length"]).join(F.broadcast(slot) if small else slot, "length")
-    runs = runs.where("first < hi and first + n > lo").select("part", "length", F.greatest(F.col("lo") - F.col("first"), F.lit(0)).alias("from"), (F.col("hi") - F.col("first")).alias("to"), (F.col("base") + F.col("first") - F.col("lo")).alias("shift"), "offset")
-    out = cutted.join(runs, ["part", "length"]).where("nth >= from and nth < to")
-    return out.select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("shift") + F.col("nth")).alias("sequence_id"), "offset")
+    # a piece has its rank in its length; ranges are dealt into buckets of ranks, so a
+    # piece meets the ranges of its own bucket only, and no length is in one task
+    ranked = cutted.join(first, ["part", "length"]).withColumn("rank", F.col("first") + F.col("nth")).withColumn("bucket", F.floor(F.col("rank") / BUCKET))
+    dealt = slot.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / BUCKET), F.floor((F.col("hi") - 1) / BUCKET))))
+    out = ranked.join(F.broadcast(dealt) if small else dealt, ["length", "bucket"]).where("rank >= lo and rank < hi")
+    return out.select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
