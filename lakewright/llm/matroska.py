@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 # Ids of elements.
 EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 DOC_TYPE, TIMESTAMP_SCALE, DURATION = 0x4282, 0x2AD7B1, 0x4489
+DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION, MUXING_APP, WRITING_APP = 0x4287, 0x4285, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, RATE, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -19,6 +20,10 @@ MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP
 TOP = {EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES}
 
 
+#: What the files name as their writer.
+APP = b"lakewright"
+
+
 class Malformed(ValueError):
     """Bytes that are not an EBML document of this kind."""
 
@@ -67,10 +72,11 @@ def mux(payload: bytes, rate: int = 8000, frame: int = 1024, laced: int = 8, blo
     """An 8-bit mono PCM file of payload: frames of `frame` bytes, `laced` to a
     block, `blocks` to a cluster. Equal frames are laced as fixed, two unlike
     ones as Xiph, more as EBML. The time unit is one sample."""
-    head = element(EBML, element(DOC_TYPE, b"matroska"))
+    # simple blocks are of version 2
+    head = element(EBML, element(DOC_TYPE, b"matroska") + uint(DOC_TYPE_VERSION, 2) + uint(DOC_TYPE_READ_VERSION, 2))
     audio = element(AUDIO, float8(RATE, rate) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))
     tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(DEFAULT_DURATION, 10**9 * frame // rate) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
-    info = element(INFO, uint(TIMESTAMP_SCALE, 10**9 // rate) + float8(DURATION, len(payload)))
+    info = element(INFO, uint(TIMESTAMP_SCALE, 10**9 // rate) + float8(DURATION, len(payload)) + element(MUXING_APP, APP) + element(WRITING_APP, APP))
     body, cues, at = [info, tracks], [], len(info) + len(tracks)
     span = min(frame * laced * blocks, 32768 // (frame * laced) * (frame * laced))  # a relative timestamp has 16 bits
     for start in range(0, len(payload), span):
