@@ -5,7 +5,8 @@ parses files into one row per packet with its track, timestamp, cluster and
 byte range. Bytes that are no Matroska file give no packets and an error text.
 
 A null or empty text has a payload of 64 zero bytes. Equal texts give equal
-values; repeated rows repeat; an empty table gives an empty result.
+values; repeated rows repeat; an empty table gives an empty result. Further columns
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """BPE encoding and decoding by tree concatenation (see tokens.py).
 
 Null and empty texts have no ids and decode to the empty string. Rows are
-independent: repeated rows repeat, an empty table gives an empty result.
+independent: repeated rows repeat, an empty table gives an empty result. Further
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
