@@ -44,7 +44,7 @@ PER_LABEL = 1500
 BLOCK, K = 64, 40
 #: Share of the examples above which a term is a row of a matrix, and the texts
 #: that meet the matrix together.
-OFTEN, TOGETHER = 0.03, 64
+OFTEN, TOGETHER = 0.06, 64
 #: Standard errors below the log odds ratio at which a term's dependence is read,
 #: weight of the prior in votes, and the power by which near copies decide alone.
 SURE, PRIOR_WEIGHT, COPY = 2.0, 0.02, 16
@@ -73,38 +73,52 @@ class Index:
     term's part of a block: block[k], greatest weight top[k], and postings
     first[k]..first[k + 1]; a term's entries are entry[t]..entry[t + 1]."""
 
-    def __init__(self, vocab: list[str], idf: np.ndarray, docs: list[dict[str, int]], labels: list[int], ids: list[int], keys: list[int]):
-        at = {t: i for i, t in enumerate(vocab)}
-        pairs = [sorted((at[x], n) for x, n in d.items() if x in at) for d in docs]
-        flat = np.array([p for d in pairs for p in d], np.int32).reshape(-1, 2)
-        self.prior, self.scale = 0.0, (1.0, 0.0)
-        self.__setstate__({"vocab": "\n".join(vocab), "idf": np.asarray(idf, np.float64), "sizes": np.array([len(d) for d in pairs]), "flat": flat, "labels": np.array(labels, np.int8), "ids": np.array(ids, np.int64), "keys": np.array(keys, np.int64), "prior": self.prior, "scale": self.scale})
+    def __init__(self, vocab: list[str], idf: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list[int], keys: list[int]):
+        """docs: the numbers of each example's terms, and their counts."""
+        flat = np.empty((sum(len(t) for t, _ in docs), 2), np.int32)
+        at = 0
+        for t, n in docs:
+            by = np.argsort(t)
+            flat[at: at + len(t), 0], flat[at: at + len(t), 1] = t[by], n[by]
+            at += len(t)
+        self.__setstate__({"vocab": "\n".join(vocab), "idf": np.asarray(idf, np.float64), "sizes": np.array([len(t) for t, _ in docs], np.int64), "flat": flat, "labels": np.array(labels, np.int8), "ids": np.array(ids, np.int64), "keys": np.array(keys, np.int64), "prior": 0.0, "scale": (1.0, 0.0)})
 
     def __getstate__(self) -> dict:
-        """What the index is made of; it is sent so, and built where it is used."""
+        """What the index is made of; it is sent so, and built where it is used first."""
         return self.source | {"prior": self.prior, "scale": self.scale}
 
     def __setstate__(self, state: dict) -> None:
         self.source, self.prior, self.scale, self.idf = state, state["prior"], state["scale"], state["idf"]
+        self.n = len(state["sizes"])
+
+    def __getattr__(self, name: str):
+        if name.startswith("_") or "source" not in self.__dict__ or "depend" in self.__dict__:
+            raise AttributeError(name)
+        self.build()
+        return getattr(self, name)
+
+    def build(self) -> None:
+        state = self.source
         vocab = state["vocab"].split("\n") if len(state["idf"]) else []
         self.term = {t: i for i, t in enumerate(vocab)}
-        labels, ids, keys = (state[k].tolist() for k in ("labels", "ids", "keys"))
-        vecs, end = [], np.cumsum(state["sizes"])
-        for lo, hi in zip(end - state["sizes"], end, strict=True):
-            t = state["flat"][lo:hi, 0].astype(np.int64)
-            w = (1 + np.log(state["flat"][lo:hi, 1])) * self.idf[t]
-            vecs.append((t, w / np.sqrt(w @ w) if len(t) else w))
+        size, labels, ids, keys = (np.asarray(state[k]) for k in ("sizes", "labels", "ids", "keys"))
+        self.blocks = -(-self.n // BLOCK)
+        e = np.repeat(np.arange(self.n, dtype=np.int32), size)
+        t = state["flat"][:, 0]
+        w = (1 + np.log(state["flat"][:, 1])) * self.idf[t]
+        w /= np.sqrt(np.bincount(e, w * w, self.n))[e]
         # examples with alike strongest terms share blocks
-        order = sorted(range(len(vecs)), key=lambda i: (labels[i], int(vecs[i][0][np.argmax(vecs[i][1])]) if len(vecs[i][0]) else -1, keys[i]))
-        vecs = [vecs[i] for i in order]
-        self.labels = np.array([labels[i] for i in order], np.float64)
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.tie = np.argsort(np.argsort(np.array([keys[i] for i in order])))
-        self.n, self.blocks = len(order), -(-len(order) // BLOCK)
-        size = [len(t) for t, _ in vecs]
-        t = np.concatenate([t for t, _ in vecs]) if vecs else np.empty(0, np.int64)
-        w = np.concatenate([w for _, w in vecs]) if vecs else np.empty(0)
-        e = np.repeat(np.arange(self.n), size)
+        strongest = np.full(self.n, -1)
+        by = np.lexsort((w, e))
+        last = np.flatnonzero(np.diff(e[by], append=-1))
+        strongest[e[by[last]]] = t[by[last]]
+        self.order = np.lexsort((keys, strongest, labels))
+        del by, last
+        self.labels, self.ids = labels[self.order].astype(np.float64), ids[self.order]
+        self.tie = np.argsort(np.argsort(keys[self.order]))
+        place = np.empty(self.n, np.int32)
+        place[self.order] = np.arange(self.n)
+        e = place[e]
         self.pos = np.bincount(t, self.labels[e], len(vocab))
         self.neg = np.bincount(t, 1 - self.labels[e], len(vocab))
         # terms of very many examples are rows of a matrix, all others are postings
@@ -116,17 +130,16 @@ class Index:
         self.dense[self.row[t[many]], e[many]] = w[many]
         t, e, w = t[~many], e[~many], w[~many]
         by = np.lexsort((e, t))
-        t, self.doc, self.weight = t[by], e[by].astype(np.int32), w[by]
-        part = t * self.blocks + self.doc // BLOCK
+        self.doc, self.weight = e[by], w[by]
+        part = t[by].astype(np.int64) * self.blocks + self.doc // BLOCK
+        del t, e, w, by
         new = np.flatnonzero(np.diff(part, prepend=-1))
-        self.first = np.append(new, len(part))
+        self.first = np.append(new, len(part)).astype(np.int32)
         self.block = (part[new] % max(self.blocks, 1)).astype(np.int32)
         self.top = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
         self.entry = np.searchsorted(part[new] // max(self.blocks, 1), np.arange(len(vocab) + 1))
         self.marked = (self.labels.sum(), self.n - self.labels.sum())
         self.depend = dependence(self.pos, self.neg, *self.marked)
-        self.start = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
-        self.terms, self.values = (np.concatenate([v[k] for v in vecs]) if vecs else np.empty(0) for k in (0, 1))
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         get = self.term.get
@@ -141,8 +154,12 @@ class Index:
         return t, w / np.sqrt(w @ w)
 
     def example(self, e: int) -> tuple[np.ndarray, np.ndarray]:
-        at = slice(self.start[e], self.start[e + 1])
-        return self.terms[at].astype(np.int64), self.values[at]
+        """Terms and weights of an example."""
+        end = np.cumsum(self.source["sizes"])[self.order[e]]
+        own = self.source["flat"][end - self.source["sizes"][self.order[e]]: end]
+        t = own[:, 0].astype(np.int64)
+        w = (1 + np.log(own[:, 1])) * self.idf[t]
+        return t, w / np.sqrt(w @ w) if len(t) else w
 
     def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the matrix's terms add to the cosines of queries with all examples."""
@@ -221,9 +238,10 @@ class Index:
         return out
 
 
-def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[int, int, int, Counter]], dict[int, int]]:
-    """(text hash, label, least id, terms) of PER_LABEL distinct labelled texts of
-    each label at most, those of least hash; and the number of labelled texts."""
+def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[int, int, int, np.ndarray, np.ndarray]], list[str], dict[int, int]]:
+    """(text hash, label, least id, numbers of terms, counts) of PER_LABEL distinct
+    labelled texts of each label at most, those of least hash; the terms; and how many
+    texts each label has."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     own = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
     texts = cut(own.join(marked, "id").groupBy("h").agg(F.max("y").alias("y"), F.min("id").alias("id")), "marked")
@@ -231,7 +249,7 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     drawn = {r["h"]: (r["y"], r["id"]) for y in sorted(counts) for r in texts.where(F.col("y") == y).orderBy(F.xxhash64("h"), "h").limit(PER_LABEL).collect()}
     drop(texts)
     if not drawn:
-        return [], counts
+        return [], [], counts
     # at most 2 * PER_LABEL hashes: a bounded broadcast
     chosen = docs.sparkSession.createDataFrame([(h,) for h in sorted(drawn)], "h long")
     pick = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text"))
@@ -241,35 +259,41 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
             got = [terms(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(g) for g in got], pa.list_(pa.string())), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], names=["h", "t", "n"])
 
-    same: dict[str, str] = {}  # the driver holds each string once
+    number: dict[str, int] = {}  # the driver holds each string once
     out = []
     for r in pick.select("h", "text").mapInArrow(tally, "h long, t array<string>, n array<int>").toLocalIterator():
-        out.append((r["h"], *drawn[r["h"]], Counter(dict(zip((same.setdefault(t, t) for t in r["t"]), r["n"], strict=True)))))
-    return sorted(out, key=lambda x: x[0]), counts
+        out.append((r["h"], *drawn[r["h"]], np.array([number.setdefault(t, len(number)) for t in r["t"]], np.int32), np.array(r["n"], np.int32)))
+    # terms are numbered by their order, whatever order the rows came in
+    vocab = sorted(number)
+    place = np.empty(len(vocab), np.int32)
+    place[[number[t] for t in vocab]] = np.arange(len(vocab))
+    return sorted(((h, y, i, place[t], n) for h, y, i, t, n in out), key=lambda x: x[0]), vocab, counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index | None:
     """The calibrated index of labelled rows of docs; docs give document frequencies."""
-    rows, counts = examples(docs, labels, id_col, text_col, label_col)
+    rows, vocab, counts = examples(docs, labels, id_col, text_col, label_col)
     if not rows:
         return None
-    vocab = sorted(set().union(*(c for *_, c in rows)))
     n, df = document_frequencies(docs.select(F.col(text_col).alias("text")), vocab)
-    index = Index(vocab, np.log((1 + n) / (1 + df)) + 1, [c for *_, c in rows], [y for _, y, _, _ in rows], [i for _, _, i, _ in rows], [h for h, *_ in rows])
+    index = Index(vocab, np.log((1 + n) / (1 + df)) + 1, [r[3:] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[0] for r in rows])
+    del rows, vocab, df
     total = sum(counts.values())
     index.prior = counts.get(1, 0) / total
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.left_out(e) for e in b.column(0).to_pylist()], pa.float64())], names=["e", "margin"])
+            es = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(ix.labels[e]) for e in es], pa.int32()), pa.array([ix.left_out(e) for e in es], pa.float64())], names=["e", "y", "margin"])
 
-    got = docs.sparkSession.range(0, index.n, 1, 16).withColumnRenamed("id", "e").mapInArrow(left_out, "e long, margin double").collect()
+    got = sorted(docs.sparkSession.range(0, index.n, 1, 16).withColumnRenamed("id", "e").mapInArrow(left_out, "e long, y int, margin double").collect())
     shared.destroy()
-    margin = np.array([r["margin"] for r in sorted(got)])
+    y, margin = np.array([r["y"] for r in got]), np.array([r["margin"] for r in got])
     # each label's examples stand for all texts of that label
-    share = np.where(index.labels == 1, index.prior / max(index.labels.mean(), 1e-9), (1 - index.prior) / max(1 - index.labels.mean(), 1e-9))
-    index.scale = fit_scale(margin, np.where(index.labels == 1, 1.0, -1.0), share)
+    share = np.where(y == 1, index.prior / max(y.mean(), 1e-9), (1 - index.prior) / max(1 - y.mean(), 1e-9))
+    index.scale = fit_scale(margin, np.where(y == 1, 1.0, -1.0), share)
     return index
 
 
