@@ -9,8 +9,22 @@ from lakewright.llm import op3_minhash, op4_language, op6_pii, op7_packing, op9_
 from lakewright.llm.common import Carried, cut, table
 
 
+#: Most rows that a Python worker gets at once: whole texts may be long.
+BATCH = 2000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Keeps the batches in which whole texts pass small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no learned language: those without a letter."""
+    """Drops documents that no language can be told of: null, empty and letterless
+    texts. Every other text is in the nearest learned language and stays, repeated
+    rows and null ids included; without any labelled row all stay."""
+    bounded(spark)
     model = op4_language.fit(docs.where(~op4_language.held_out()))
     carried = Carried(docs, "doc_id", "text")
     told = op4_language.predict(docs, model, keep=carried.keep(), keep_text=True)
@@ -18,7 +32,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose score is 0.5 or more."""
+    """Drops documents whose score is 0.5 or more. Null and empty texts have the
+    prior's score, so they stay; repeated rows fare alike; without labels all stay."""
+    bounded(spark)
     labels = table(spark, sf_dir, "labels").where(~op9_toxicity.held_out())
     index = op9_toxicity.fit(docs, labels)
     carried = Carried(docs, "doc_id", "text")
@@ -31,17 +47,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     last). Rows are told apart by id and text: an id under two texts is two rows,
     equal rows are one. Rows with null, empty or wordless texts are in no group and
     stay, repeats included."""
+    bounded(spark)
     return op3_minhash.deduplicate(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts; n_chars follows the text."""
+    """Replaces personal data in the texts; n_chars follows the text. Every row
+    stays; null texts stay null, and their n_chars with them."""
     out = op6_pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the texts into sequences of 1024 tokens."""
+    """Packs the texts into sequences of 1024 tokens. A null or empty text has its
+    closing id alone; repeated rows are packed each."""
+    bounded(spark)
     return op7_packing.pack(docs)
 
 

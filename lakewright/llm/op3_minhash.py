@@ -66,9 +66,9 @@ def signatures(df: DataFrame, n: int, count: int, width: int) -> DataFrame:
                 size.append(len(s))
                 key.append(set_key(s) if len(s) else None)
                 bands.append(band_keys(signature(s, count * width), count, width) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(key, pa.string()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "n_shingles", "set", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "n_shingles", "set", "bands"])
 
-    return df.mapInArrow(run, "doc_id long, h long, n_shingles long, set string, bands array<long>")
+    return df.mapInArrow(run, "doc_id long, h long, n_shingles long, set binary, bands array<long>")
 
 
 def full_sets(df: DataFrame, n: int) -> DataFrame:
@@ -79,9 +79,9 @@ def full_sets(df: DataFrame, n: int) -> DataFrame:
         for b in batches:
             got = [(w.as_py(), shingle_set(x.as_py(), n)) for x, w in zip(b.column(0), b.column(1), strict=True)]
             got = [(w, s) for w, s in got if set_key(s) == w]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64()))], names=["set", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.binary()), pa.array([s.view(np.int64) for _, s in got], pa.list_(pa.int64()))], names=["set", "items"])
 
-    return df.select("text", "set").mapInArrow(run, "set string, items array<long>")
+    return df.select("text", "set").mapInArrow(run, "set binary, items array<long>")
 
 
 def compared(percent: int):
@@ -95,7 +95,7 @@ def compared(percent: int):
         ends = items.offsets.to_numpy().astype(np.int64)
         start, size = ends[:-1] - ends[0], np.diff(ends)
         flat = items.values.to_numpy()[ends[0]: ends[-1]]
-        root = np.unique(np.array(t["component"].to_pylist()), return_inverse=True)[1]
+        root = t["component"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
         band = t["band"].to_numpy()
         bands = np.stack([np.asarray(x, np.int64) for x in t["bands"].to_pylist()]) if len(band) and band.max() > 0 else None
         left = np.flatnonzero(side != 1)
@@ -126,7 +126,7 @@ def compared(percent: int):
                     root[root == root[j]] = root[i]
                     a.append(sets[i])
                     b.append(sets[j])
-        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return compare
 
@@ -134,7 +134,7 @@ def compared(percent: int):
 def links_in(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) within groups (g, i, j) of rows (side, set, component, band, bands)."""
     rows = groups.join(sets, "set")
-    return rows.select("g", "i", "j", "side", "set", "component", "band", "bands", "items").groupBy("g", "i", "j").applyInArrow(compared(percent), "a string, b string")
+    return rows.select("g", "i", "j", "side", "set", "component", "band", "bands", "items").groupBy("g", "i", "j").applyInArrow(compared(percent), "a binary, b binary")
 
 
 def blocks(rows: Column, items: Column) -> Column:
@@ -153,7 +153,7 @@ def stars(pairs: DataFrame) -> DataFrame:
     told = pairs.select("hub", "set", dealt(F.col("n")).alias("i")).distinct()
     spokes = told.select(F.col("hub").alias("g"), "i", F.lit(0).alias("j"), F.lit(1).alias("side"), "set", F.col("set").alias("component"), *none)
     hubs = told.select("hub", "i").distinct().select(F.col("hub").alias("g"), "i", F.lit(0).alias("j"), F.lit(0).alias("side"), F.col("hub").alias("set"), F.col("hub").alias("component"), *none)
-    return spokes.unionByName(hubs)
+    return spokes.unionByName(hubs).withColumn("g", F.hex("g"))
 
 
 def merged(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int)
     # one row stands for a class of equal sets
     reps = rows.where("set is not null").groupBy("set").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "h", "n_shingles", "bands")).alias("r"))
     reps = cut(reps.select("set", "r.*"), "reps")
-    member = reps.select("set", F.col("n_shingles").alias("size"), "bands", F.posexplode("bands").alias("band", "key"))
+    member = reps.select("set", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "key"))
     often = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = cut(member.join(often, "key"), "members")
     wanted = member.select("set").distinct().join(reps.select("set", "doc_id", "no_id", "h"), "set")
@@ -210,12 +210,14 @@ def classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int)
     drop(tried)
 
     # all that is left, block by block
-    where = mixed(where.drop("component", "rows", "items"), found).withColumn("n", blocks(F.col("rows"), F.col("items"))).withColumn("at", dealt(F.col("n")))
+    last = mixed(where.drop("component", "rows", "items"), found)
+    where = last.withColumn("n", blocks(F.col("rows"), F.col("items"))).withColumn("at", dealt(F.col("n")))
     where = where.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     side = F.when(F.col("at") == F.col("other"), 2).otherwise((F.col("at") > F.col("other")).cast("int"))
+    where = where.join(reps.select("set", "bands"), "set")
     left = where.select(F.col("key").cast("string").alias("g"), F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), side.alias("side"), "set", "component", "band", "bands")
     found = merged(found, links_in(left, sets, percent))
-    for used in (member, sets, where):
+    for used in (member, sets, last):
         drop(used)
     return rows, found.select(F.col("node").alias("set"), "component")
 

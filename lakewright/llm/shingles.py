@@ -87,9 +87,9 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(s)
 
 
-def set_key(s: np.ndarray) -> str:
+def set_key(s: np.ndarray) -> bytes:
     """Equal for equal sets; 128 bits."""
-    return hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).hexdigest()
+    return hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest()
 
 
 def signature(s: np.ndarray, bins: int) -> np.ndarray:
