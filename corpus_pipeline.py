@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.llm import op3_minhash, op4_language, op6_pii, op7_packing, op9_toxicity
-from lakewright.llm.common import Carried, cut, table
+from lakewright.llm.common import cut, table
 
 
 #: Most rows that a Python worker gets at once: whole texts may be long.
@@ -26,9 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows and null ids included; without any labelled row all stay."""
     bounded(spark)
     model = op4_language.fit(docs.where(~op4_language.held_out()))
-    carried = Carried(docs, "doc_id", "text")
-    told = op4_language.predict(docs, model, keep=carried.keep(), keep_text=True)
-    return carried.restore(told.where((F.col("lang_pred") != op4_language.UNKNOWN) | F.lit(model is None)), text="__text")
+    if model is None:
+        return docs
+    return docs.where(op4_language.language_of(spark, model, F.col("text")) != op4_language.UNKNOWN)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded(spark)
     labels = table(spark, sf_dir, "labels").where(~op9_toxicity.held_out())
     index = op9_toxicity.fit(docs, labels)
-    carried = Carried(docs, "doc_id", "text")
-    told = op9_toxicity.score(docs, index, keep=carried.keep(), keep_text=True)
-    return carried.restore(told.where("score < 0.5"), text="__text")
+    return docs.where(op9_toxicity.score_of(spark, index, F.col("text")) < 0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

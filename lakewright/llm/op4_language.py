@@ -230,6 +230,23 @@ def predict(df: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text
     return own.mapInArrow(run, schema)
 
 
+def language_of(spark: SparkSession, model: Hierarchy | None, text: Column) -> Column:
+    """The predicted language of a text column. Only texts go to the workers and only
+    languages come back; all other columns stay where they are."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(texts: pa.Array) -> pa.Array:
+        names = [UNKNOWN] * len(texts)
+        for at in range(0, len(texts), 256):
+            some = [(at + i, t) for i, t in enumerate(texts.slice(at, 256).to_pylist()) if _usable(t)]
+            if some and shared.value is not None:
+                for (i, _), g in zip(some, shared.value.predict(np.stack([features(t) for _, t in some]))[0], strict=True):
+                    names[i] = g
+        return pa.array(names, pa.string())
+
+    return F.arrow_udf(run, "string")(text)
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 

@@ -343,6 +343,22 @@ def score(df: DataFrame, index: Index | None, id_col: str = "doc_id", text_col:
     return own.mapInArrow(run, schema)
 
 
+def score_of(spark: SparkSession, index: Index | None, text: Column) -> Column:
+    """The score of a text column. Only texts go to the workers and only scores come
+    back; all other columns stay where they are."""
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(texts: pa.Array) -> pa.Array:
+        ix = shared.value
+        got: list[float] = []
+        for at in range(0, len(texts), TOGETHER):
+            some = texts.slice(at, TOGETHER).to_pylist()
+            got += [s for s, _ in ix.scores(some)] if ix else [0.0] * len(some)
+        return pa.array(got, pa.float64())
+
+    return F.arrow_udf(run, "double")(text)
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
