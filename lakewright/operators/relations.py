@@ -27,10 +27,39 @@ def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_col(points: DataFrame, lines: DataFrame, id_col: str, offset_col: str = "offset") -> DataFrame:
-    """points with 1-based line and col (in bytes) of their byte offsets."""
-    end = F.col("start") + F.octet_length("text") + 1
-    on = points.join(lines.select(F.col(id_col).alias("__id"), "line", "start", end.alias("__end")), (F.col(id_col) == F.col("__id")) & (F.col(offset_col) >= F.col("start")) & (F.col(offset_col) < F.col("__end")), "left")
-    return on.select(*points.columns, "line", (F.col(offset_col) - F.col("start") + 1).alias("col"))
+    """points with 1-based line and col (in bytes) of their byte offsets. Points and
+    starts of lines are sorted together, so that nothing is broadcast, whatever size the
+    planner takes generated rows for, and a text of many lines and points stays linear."""
+    line = F.struct("line", "start", (F.col("start") + F.octet_length("text") + 1).alias("end"))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in points.schema]
+    starts = lines.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col("start").cast("long").alias("__at"), F.lit(0).alias("__point"), line.alias("__line"), *none)
+    asked = points.select(F.col(id_col).alias("__id"), F.col(offset_col).cast("long").alias("__at"), F.lit(1).alias("__point"), F.lit(None).cast(starts.schema["__line"].dataType).alias("__line"), *points.columns)
+    w = Window.partitionBy("__id").orderBy("__at", "__point").rowsBetween(Window.unboundedPreceding, 0)
+    on = starts.unionByName(asked).withColumn("__line", F.last("__line", ignorenulls=True).over(w)).where("__point = 1")
+    inside = F.col("__at") < F.col("__line.end")
+    return on.select(*points.columns, F.when(inside, F.col("__line.line")).alias("line"), F.when(inside, F.col(offset_col) - F.col("__line.start") + 1).alias("col"))
+
+
+#: Rows of a lookup table that may be broadcast, and rows of one key from which on its
+#: entries are.
+FEW, HOT = 50_000, 20_000
+
+
+def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined with the few rows that right has for each key. The entries of keys that
+    very many rows share are broadcast, so that no such key meets in one task; the same
+    holds for all entries that left uses, if they are few. left is read several times."""
+    from ..storage import cut
+
+    used = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    need = cut(right.join(used, on), "lookup")
+    plain = [c for c in need.columns if c != "__n"]
+    if need.count() <= FEW:
+        return left.join(F.broadcast(need.select(*plain)), on, how)
+    hot = need.where(F.col("__n") > HOT)
+    keys = F.broadcast(hot.select(*on).distinct())
+    cool = left.join(keys, on, "left_anti").join(need.where(F.col("__n") <= HOT).select(*plain), on, how)
+    return left.join(F.broadcast(hot.select(*plain)), on).unionByName(cool)
 
 
 def closure(edges: DataFrame, source: str, target: str, max_rounds: int = 64) -> DataFrame:
