@@ -1,6 +1,6 @@
 """Source trees as DataFrames: reading, parsing, searching, rewriting.
 
-Files are rows (path, text). Parsing runs per file in mapInPandas, one pass for
+Files are rows (path, text). Parsing runs per file in mapInArrow, one pass for
 each relation asked for; everything after it is joins and filters.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,19 +99,44 @@ def negotiated(offered: list[str] | None) -> str:
     return next((e for e in offered or [] if e in ("utf-8", "utf-16", "utf-32")), "utf-16")
 
 
+_KINDS = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "map": pa.map_(pa.string(), pa.string())}
+#: Rows, or characters of text, after which a batch goes to Spark.
+BATCH_ROWS, BATCH_CHARS = 20_000, 4_000_000
+
+
+def bounded(batches: Iterator[pa.RecordBatch], f: Callable[[str, str], object], rows_of: Callable[[object], int]) -> Iterator[list[tuple]]:
+    """Lists of (path, what f gives for a file): of so few files that their rows take
+    little memory, whatever number of files comes at once."""
+    import sys
+
+    sys.setrecursionlimit(20_000)
+    for b in batches:
+        got, rows, chars = [], 0, 0
+        for p, t in zip(b.column(0), b.column(1), strict=True):
+            path, text = p.as_py(), t.as_py() or ""
+            got.append((path, f(path, text)))
+            rows += rows_of(got[-1][1])
+            chars += len(text)
+            if rows > BATCH_ROWS or chars > BATCH_CHARS:
+                yield got
+                got, rows, chars = [], 0, 0
+        if got:
+            yield got
+
+
 def per_file(files: DataFrame, schema: str, f: Callable[[str, str], list[tuple]]) -> DataFrame:
     """The rows that f gives for each (path, text)."""
-    names = [c.strip().split(" ")[0] for c in schema.replace("map<string,string>", "map").split(",")]
+    cols = [c.strip().split(" ") for c in schema.replace("map<string,string>", "map").split(",")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import sys
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x if x is None else list(x.items()) for x in v] if k == "map" else v, _KINDS[k]) for v, (_, k) in zip(zip(*rows), cols, strict=True)], names=[c for c, _ in cols])
 
-        sys.setrecursionlimit(20_000)
-        for frame in frames:
-            rows = [r for p, t in zip(frame["path"], frame["text"], strict=True) for r in f(p, t or "")]
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in bounded(batches, f, len):
+            if rows := [r for _, rs in got for r in rs]:
+                yield batch(rows)
 
-    return files.select("path", "text").mapInPandas(run, schema)
+    return files.select("path", "text").mapInArrow(run, schema)
 
 
 def nodes(files: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 """Steps that grow with a corpus: what they broadcast, deal out and hold at once."""
 
+import pyarrow as pa
+
 from lakewright import source_queries
+from lakewright.apex import corpus
 from lakewright.operators import relations
 
 
@@ -20,3 +23,9 @@ def test_places_are_found_without_a_broadcast(spark):
 
 def test_places_of_the_query_are_not_broadcast(spark, sf_dir):
     assert "Broadcast" not in plan(source_queries.source_places(spark, sf_dir))
+
+
+def test_few_files_are_held_at_once():
+    b = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(10)]), pa.array(["x"] * 10)], names=["path", "text"])
+    got = list(corpus.bounded(iter([b]), lambda p, t: [(p,)] * (corpus.BATCH_ROWS // 2), len))
+    assert [[p for p, _ in g] for g in got] == [["0", "1", "2"], ["3", "4", "5"], ["6", "7", "8"], ["9"]]
