@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.relations import closure
+from ..operators.relations import closure, lookup
 from ..storage import cut
 from .corpus import Lines
 from .facts import RELATIONS, facts, known_type, relation
@@ -23,6 +23,7 @@ from .types import pick_overload
 
 SYMBOLS, REFS = ("path string, " + RELATIONS[r] for r in ("symbols", "uses"))
 TYPES = {"ClassDecl": "Class", "InterfaceDecl": "Interface", "EnumDecl": "Enum"}
+OWNERS = {*TYPES.values(), "Trigger"}
 LOOPS = {"ForStmt", "ForEachStmt", "WhileStmt", "DoWhileStmt"}
 
 
@@ -30,7 +31,7 @@ def type_text(n: Node | None) -> tuple[str | None, str | None]:
     """(name, arguments) of a type; arrays are lists."""
     if n is None:
         return None, None
-    text = "".join(t.text for t in n.tokens())
+    text = n.word()
     while text.endswith("[]"):
         text = f"List<{text[:-2]}>"
     head, _, args = text.partition("<")
@@ -51,8 +52,8 @@ def whole(parts: tuple[str | None, str | None]) -> str | None:
 class Collector:
     """Declarations and uses of one file."""
 
-    def __init__(self, path: str, tree: Tree):
-        self.path, self.tree, self.lines = path, tree, Lines(tree.text)
+    def __init__(self, path: str, tree: Tree, want_uses: bool = True):
+        self.path, self.tree, self.lines, self.want_uses = path, tree, Lines(tree.text), want_uses
         self.symbols: list[list] = []
         self.refs: list[tuple] = []
 
@@ -124,6 +125,14 @@ class Collector:
         elif m.kind == "StaticInitializer":
             self.body(m.child("Block"), me, [{}])
 
+    def owners(self) -> list[tuple[int | None, int]]:
+        """For each symbol the type that it belongs to, and the outermost symbol."""
+        out: list[tuple[int | None, int]] = []
+        for s in self.symbols:
+            ty, top = out[s[4]] if s[4] >= 0 else (None, s[1])
+            out.append((s[1] if s[2] in OWNERS else ty, top))
+        return out
+
     # -- bodies ------------------------------------------------------------
     def use(self, kind: str, name: str, receiver: str | None, arity: int, at, within: int, local: int = -1, loop: bool = False, recv: Node | None = None, args: str | None = None) -> None:
         b = self.lines.byte
@@ -156,11 +165,11 @@ class Collector:
         return ";".join(of(a) for a in args.nodes())
 
     def type_use(self, n: Node | None, within: int) -> None:
-        if n is None:
+        if n is None or not self.want_uses:
             return
         for t in n.walk():
-            if t.kind == "Type" and type_text(t)[0] not in (None, "void"):
-                self.use("type", type_text(t)[0], None, -1, t.children[0] if t.children else t, within)
+            if t.kind == "Type" and (name := type_text(t)[0]) not in (None, "void"):
+                self.use("type", name, None, -1, t.children[0] if t.children else t, within)
 
     def body(self, n: Node | None, within: int, scopes: list[dict], loop: bool = False) -> None:
         if n is None:
@@ -207,7 +216,8 @@ class Collector:
             self.body(n.child("Block"), within, inner, loop)
         elif n.kind.endswith("Stmt") or n.kind in ("ForUpdate", "FinallyClause", "TryStmt"):
             if n.kind in ("InsertStmt", "UpdateStmt", "DeleteStmt", "UndeleteStmt", "UpsertStmt", "MergeStmt"):
-                self.use("dml", n.kind, None, -1, n, within, loop=loop)
+                if self.want_uses:
+                    self.use("dml", n.kind, None, -1, n, within, loop=loop)
             for c in n.nodes():
                 self.body(c, within, scopes, loop)
         elif n.kind in ("AccessLevelClause", "QualifiedName", "ErrorNode"):
@@ -240,7 +250,7 @@ class Collector:
         return "?"
 
     def expr(self, n: Node, within: int, scopes: list[dict], loop: bool) -> None:
-        stack = [n]
+        stack = [n] if self.want_uses else []
         while stack:
             e = stack.pop()
             if e.kind == "NameExpr":
@@ -311,12 +321,12 @@ class Collector:
 
 def symbols(files: DataFrame) -> DataFrame:
     """Declarations of every file; (path, local) is a symbol's id."""
-    return relation(facts(files), "symbols")
+    return relation(facts(files, ("symbols",)), "symbols").drop("type", "top")
 
 
 def uses(files: DataFrame) -> DataFrame:
     """Names in use, before anything is resolved across files."""
-    return relation(facts(files), "uses")
+    return relation(facts(files, ("uses",)), "uses").drop("type", "top")
 
 
 def sid(path: str = "path", local: str = "local"):
@@ -353,40 +363,64 @@ def collection_member(text: Column, name: Column) -> Column:
     return got.when(base.isin("list", "set") & (name == "iterator") & (inner != ""), F.concat(F.lit("Iterator<"), inner, F.lit(">")))
 
 
+def with_owners(rows: DataFrame) -> DataFrame:
+    """type_id and top_id instead of the places of the two in the file."""
+    return rows.withColumn("type_id", F.when(F.col("type").isNotNull(), sid("path", "type"))).withColumn("top_id", F.when(F.col("top").isNotNull(), sid("path", "top"))).drop("type", "top")
+
+
 def type_of_symbol() -> Column:
     return F.when(F.col("type_args").isNotNull(), F.concat("type_name", F.lit("<"), "type_args", F.lit(">"))).otherwise(F.col("type_name"))
 
 
 class Program:
-    """The relations of a corpus. Each file is parsed once; symbols, uses and what is
-    resolved from them are written once to the shared folder."""
+    """The relations of a corpus, made when they are first asked for. Each file is parsed
+    once; symbols, uses and what is resolved from them are written once to the shared folder."""
 
-    def __init__(self, files: DataFrame, schema: DataFrame | None = None, library: DataFrame | None = None, labels: DataFrame | None = None, known: DataFrame | None = None, controllers: DataFrame | None = None):
+    def __init__(self, files: DataFrame, schema: DataFrame | None = None, library: DataFrame | None = None, labels: DataFrame | None = None, known: DataFrame | None = None, controllers: DataFrame | None = None, only: tuple[str, ...] = tuple(RELATIONS)):
         """schema: (object, field) names that queries and code may use; null field rows
         name objects. library: (class_lc, name_lc, arity, return_type) of platform
         classes, arity -1 for properties. labels: (full_name). known: facts rows of
-        the files, if they are at hand. controllers: (class_lc) of classes that pages name."""
+        the files, if they are at hand. controllers: (class_lc) of classes that pages name.
+        only: the relations of facts that will be asked for, to spare the parse the others."""
         self.files = files
         self.schema, self.library, self.labels, self.controllers = schema, library, labels, controllers
-        self.facts = known if known is not None else cut(facts(files), "facts")
-        self.symbols = cut(relation(self.facts, "symbols").withColumn("id", sid()).withColumn("container_id", F.when(F.col("container") >= 0, sid("path", "container"))).withColumn("name_lc", F.lower("name")), "symbols")
-        self.uses = cut(relation(self.facts, "uses").withColumn("name_lc", F.lower("name")).withColumn("within_id", sid("path", "within")), "uses")
-        self.types = self.symbols.where("kind in ('Class','Interface','Enum')").select("id", "path", "kind", "name_lc", "container_id", "supers", "modifiers", "visibility")
-        self._edges = self._closure = self._owner = self._refs = self._result = None
+        self.only, self._facts = tuple(known.columns[1:]) if known is not None else only, known
+        self._symbols = self._uses = self._edges = self._closure = self._refs = self._result = None
+
+    @property
+    def facts(self) -> DataFrame:
+        if self._facts is None:
+            self._facts = cut(facts(self.files, self.only), "facts")
+        return self._facts
+
+    def _relation(self, name: str) -> DataFrame:
+        """A relation of facts; the only one asked for comes straight from the parse."""
+        return relation(facts(self.files, (name,)) if self._facts is None and self.only == (name,) else self.facts, name)
+
+    @property
+    def symbols(self) -> DataFrame:
+        """Declarations with their ids, and those of the type that each belongs to and of
+        the outermost declaration."""
+        if self._symbols is None:
+            s = self._relation("symbols").withColumn("id", sid()).withColumn("container_id", F.when(F.col("container") >= 0, sid("path", "container"))).withColumn("name_lc", F.lower("name"))
+            self._symbols = cut(with_owners(s), "symbols")
+        return self._symbols
+
+    @property
+    def uses(self) -> DataFrame:
+        if self._uses is None:
+            u = self._relation("uses").withColumn("name_lc", F.lower("name")).withColumn("within_id", sid("path", "within")).withColumn("rid", F.concat_ws("@", "path", F.col("ref").cast("string")))
+            self._uses = cut(with_owners(u), "uses")
+        return self._uses
+
+    @property
+    def types(self) -> DataFrame:
+        return self.symbols.where("kind in ('Class','Interface','Enum')").select("id", "path", "kind", "name_lc", "container_id", "supers", "modifiers", "visibility")
 
     @property
     def owner(self) -> DataFrame:
-        """(id, type_id, top_id): the type that a symbol belongs to, and the outermost
-        one. Declarations nest few levels, but any number of them is climbed."""
-        if self._owner is None:
-            s = self.symbols.select("id", "kind", "container_id")
-            is_type = F.col("kind").isin("Class", "Interface", "Enum", "Trigger")
-            up = s.select(F.col("id").alias("cid"), F.when(is_type, F.col("id")).alias("ctype"), F.col("container_id").alias("cc"))
-            cur = cut(s.select("id", F.when(is_type, F.col("id")).alias("type_id"), F.col("id").alias("top_id"), "container_id"), "owners")
-            while cur.where("container_id is not null").take(1):
-                cur = cut(cur.join(up, F.col("container_id") == F.col("cid"), "left").select("id", F.coalesce("type_id", "ctype").alias("type_id"), F.coalesce("cid", "top_id").alias("top_id"), F.col("cc").alias("container_id")), "owners")
-            self._owner = cur.select("id", "type_id", "top_id")
-        return self._owner
+        """(id, type_id, top_id): the type that a symbol belongs to, and the outermost one."""
+        return self.symbols.select("id", "type_id", "top_id")
 
     @property
     def edges(self) -> DataFrame:
@@ -397,15 +431,19 @@ class Program:
         return self._edges
 
     def _by_type_name(self, raw: DataFrame, key: str) -> DataFrame:
-        """raw(key, scope, name_lc) with the type that the name means, if any."""
-        t = self.types.select(F.col("id").alias("target"), F.col("name_lc").alias("t_name"), F.col("container_id").alias("t_scope"))
-        last = F.element_at(F.split("name_lc", r"\."), -1)
-        outer = F.when(F.col("name_lc").contains("."), F.element_at(F.split("name_lc", r"\."), -2))
-        outers = self.types.select(F.col("id").alias("o_id"), F.col("name_lc").alias("o_name"))
-        both = raw.withColumn("__last", last).withColumn("__outer", outer).join(t, F.col("__last") == F.col("t_name")).join(outers, F.col("t_scope") == F.col("o_id"), "left")
-        ok = F.when(F.col("__outer").isNotNull(), F.col("o_name") == F.col("__outer")).otherwise(F.col("t_scope").isNull() | (F.col("t_scope") == F.col("scope")))
-        rank = F.when(F.col("t_scope") == F.col("scope"), 0).otherwise(1)
-        return both.where(ok).groupBy(key, "name_lc").agg(F.min(F.struct(rank.alias("r"), "target")).alias("m")).select(key, "name_lc", F.col("m.target").alias("target"))
+        """raw(key, scope, name_lc) with the type that the name means, if any: one nested
+        in the scope, else a global one; after a dot, one nested in a type of the name before."""
+        words = F.split("name_lc", r"\.")
+        raw = raw.select(key, "scope", "name_lc", F.element_at(words, -1).alias("__last"), F.when(F.size(words) > 1, F.element_at(words, -2)).alias("__outer"))
+        nested = self.types.where("container_id is not null").select(F.col("id").alias("__id"), F.col("name_lc").alias("__last"), F.col("container_id").alias("scope"))
+        holders = self.types.select(F.col("id").alias("scope"), F.col("name_lc").alias("__holder"))
+        nested = nested.groupBy("scope", "__last").agg(F.min("__id").alias("__id")).join(holders, "scope", "left")
+        everywhere = self.types.where("container_id is null").groupBy(F.col("name_lc").alias("__last")).agg(F.min("id").alias("target"))
+        of_holder = nested.where("__holder is not null").groupBy("__last", F.col("__holder").alias("__outer")).agg(F.min("__id").alias("target"))
+        own = raw.join(nested, ["scope", "__last"]).where("__outer is null or __outer = __holder").select(key, "name_lc", F.lit(0).alias("r"), F.col("__id").alias("target"))
+        bare = lookup(raw.where("__outer is null"), everywhere, ["__last"]).select(key, "name_lc", F.lit(1).alias("r"), "target")
+        dotted = raw.where("__outer is not null").join(of_holder, ["__last", "__outer"]).select(key, "name_lc", F.lit(1).alias("r"), "target")
+        return own.unionByName(bare).unionByName(dotted).groupBy(key, "name_lc").agg(F.min(F.struct("r", "target")).alias("m")).select(key, "name_lc", F.col("m.target").alias("target"))
 
     @property
     def closure(self) -> DataFrame:
@@ -414,18 +452,20 @@ class Program:
             self._closure = closure(self.edges, "sub", "super")
         return self._closure
 
-    def _members(self, m: DataFrame) -> DataFrame:
+    def _members(self, m: DataFrame, shared: bool = False) -> DataFrame:
         """(rid, target_id) of member uses (rid, kind, name_lc, arity, args, on_type, step,
         top_id): the members of least step along the supertypes that can be seen from
-        the use, overloads narrowed by the arguments' types."""
+        the use, overloads narrowed by the arguments' types. shared: very
+        many uses may be on one type."""
+        meet = lookup if shared else lambda a, b, on: a.join(b, on)
         chain = self.closure.select(F.col("sub").alias("on_type"), F.col("super").alias("holder"), "depth")
         own = ["rid", "kind", "name_lc", "arity", "args", "top_id"]
-        reach = m.select(*own, F.col("on_type").alias("holder"), "step").unionByName(m.join(chain, "on_type").select(*own, "holder", (F.col("step") + F.col("depth")).alias("step")))
-        tops = self.owner.select(F.col("id").alias("target_id"), F.col("top_id").alias("own_top"))
-        s = self.symbols.where("kind in ('Method','Field','Property','EnumConstant')").select(F.col("id").alias("target_id"), F.col("container_id").alias("holder"), F.col("name_lc").alias("m_name"), F.col("kind").alias("m_kind"), F.col("arity").alias("m_arity"), "params", "visibility").join(tops, "target_id")
-        fits = (F.col("m_name") == F.col("name_lc")) & F.when(F.col("kind") == "method", (F.col("m_kind") == "Method") & (F.col("m_arity") == F.col("arity"))).otherwise(F.col("m_kind") != "Method")
+        reach = m.select(*own, F.col("on_type").alias("holder"), "step").unionByName(meet(m, chain, ["on_type"]).select(*own, "holder", (F.col("step") + F.col("depth")).alias("step")))
+        reach = cut(reach, "reach") if shared else reach
+        s = self.symbols.where("kind in ('Method','Field','Property','EnumConstant')").select(F.col("id").alias("target_id"), F.col("container_id").alias("holder"), "name_lc", F.col("kind").alias("m_kind"), F.col("arity").alias("m_arity"), "params", "visibility", F.col("top_id").alias("own_top"))
+        fits = F.when(F.col("kind") == "method", (F.col("m_kind") == "Method") & (F.col("m_arity") == F.col("arity"))).otherwise(F.col("m_kind") != "Method")
         seen = (F.col("visibility") != "private") | (F.col("own_top") == F.col("top_id"))
-        hit = reach.join(s, "holder").where(fits & seen)
+        hit = meet(reach, s, ["holder", "name_lc"]).where(fits & seen)
         best = hit.groupBy("rid").agg(F.min("step").alias("least"))
         hit = hit.join(best, "rid").where("step = least").select("rid", "target_id", "params", "args").distinct()
         return self._narrowed(hit)
@@ -470,8 +510,7 @@ class Program:
         found round by round: a member's declared type, or what a collection or a
         platform class gives."""
         if self._refs is None:
-            u = self.uses.withColumn("rid", F.concat_ws("@", "path", F.col("ref").cast("string")))
-            u = cut(u.join(self.owner.select(F.col("id").alias("within_id"), "type_id", "top_id"), "within_id", "left"), "uses")
+            u = self.uses
             local = u.where("local >= 0").select("rid", sid("path", "local").alias("target_id"))
             scoped = u.where("local = -1")
             tn = scoped.where("kind in ('type','new')").select("rid", F.col("top_id").alias("scope"), "name_lc")
@@ -498,7 +537,7 @@ class Program:
             decl = self.symbols.where("kind in ('Method','Field','Property','EnumConstant')").select(F.col("id").alias("target_id"), type_of_symbol().alias("type_text"))
 
             def types_of(got: DataFrame) -> DataFrame:
-                t = got.join(decl, "target_id").groupBy("rid").agg(F.min("type_text").alias("type_text"), F.count_distinct("type_text").alias("n"))
+                t = lookup(got, decl, ["target_id"]).groupBy("rid").agg(F.min("type_text").alias("type_text"), F.count_distinct("type_text").alias("n"))
                 return t.where("n = 1 and type_text is not null and lower(type_text) <> 'void'").select("rid", "type_text")
 
             todo = scoped.where("kind in ('method','field') and receiver is not null and receiver not in ('this','super')")
@@ -516,7 +555,7 @@ class Program:
                 if not ready.take(1):
                     break
                 on = self._by_type_name(ready.select("rid", F.col("top_id").alias("scope"), base_of(F.col("on_text")).alias("name_lc")), "rid").select("rid", F.col("target").alias("on_type"))
-                got = cut(self._members(ready.join(on, "rid").select(*own, "on_type", F.lit(0).alias("step"))), "members")
+                got = cut(self._members(cut(ready.join(on, "rid").select(*own, "on_type", F.lit(0).alias("step")), "on"), True), "members")
                 found.append(got)
                 lib = ready.select("rid", collection_member(F.col("on_text"), F.col("name_lc")).alias("type_text")).where("type_text is not null")
                 if self.library is not None:
@@ -574,7 +613,7 @@ class Program:
     def call_edges(self) -> DataFrame:
         """(caller, callee, sites) of resolved calls."""
         callee = self.symbols.where("kind in ('Method','Constructor')").select(F.col("id").alias("target_id"))
-        calls = self.refs.where("kind in ('method','new')").join(callee, "target_id")
+        calls = lookup(self.refs.where("kind in ('method','new') and target_id is not null").select("within_id", "target_id", "start", "end"), callee, ["target_id"])
         return calls.groupBy(F.col("within_id").alias("caller"), F.col("target_id").alias("callee")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("sites"))
 
     def workspace_symbols(self, text: str) -> DataFrame:

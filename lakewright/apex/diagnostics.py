@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.relations import lookup
+from ..storage import cut
 from .bind import Program
 from .facts import relation
 from .types import SCALARS, compatible
@@ -108,7 +110,7 @@ def type_mismatches(p: Program) -> DataFrame:
     # every pair of scalars that certainly does not fit: a fixed, small table
     bad = [(w, g) for w in sorted(SCALARS) for g in sorted(SCALARS) if compatible(w, g) is False]
     never = p.files.sparkSession.createDataFrame(bad, "want_lc string, got_lc string")
-    j = given.join(calls, ["path", "at"]).join(sure, ["path", "at"], "left_semi").join(params, ["callee", "k"])
+    j = lookup(cut(given.join(calls, ["path", "at"]).join(sure, ["path", "at"], "left_semi"), "args"), params, ["callee", "k"])
     j = j.join(F.broadcast(never), (F.lower("want") == F.col("want_lc")) & (F.lower("got") == F.col("got_lc")))
     first = j.groupBy("path", "at").agg(F.min(F.struct("k", "start", "end", F.concat("got", F.lit(" cannot become "), "want").alias("message"))).alias("m"))
     return finding(own.unionByName(first.select("path", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.message").alias("message"))), "error", "type", F.col("message"))
@@ -117,7 +119,7 @@ def type_mismatches(p: Program) -> DataFrame:
 def type_narrowing(p: Program) -> DataFrame:
     """Nested public types that could be private: every use is inside the same
     top-level type, and no member that outsiders use has one in its signature."""
-    s = p.symbols.where("kind in ('Class','Interface','Enum') and visibility = 'public' and container >= 0")
+    s = p.symbols.where("kind in ('Class','Interface','Enum') and visibility = 'public' and container >= 0").drop("type_id", "top_id")
     top = p.owner.select("id", F.col("top_id").alias("own_top"))
     uses = p.refs.where("target_id is not null").select(F.col("target_id").alias("id"), "top_id", "within_id")
     j = s.join(top, "id").join(uses, "id")
@@ -133,14 +135,14 @@ def narrowing(p: Program) -> DataFrame:
     """Public members that could be private or protected: every use is in the
     same top-level type, or in a subtype. Unused members are dead code instead."""
     spared = F.exists(F.split("annotations", ","), lambda a: a.isin("istest", "testsetup", "testvisible", *PLATFORM)) | F.array_contains(F.split("modifiers", " "), "override")
-    s = p.symbols.where(F.col("kind").isin("Method", "Field", "Property") & (F.col("visibility") == "public") & ~spared)
+    s = p.symbols.where(F.col("kind").isin("Method", "Field", "Property") & (F.col("visibility") == "public") & ~spared).drop("type_id", "top_id")
     interfaces = p.types.where("kind = 'Interface'").select(F.col("id").alias("container_id"))
     required = p.closure.join(p.symbols.where("kind = 'Method' and visibility <> 'private'").select(F.col("container_id").alias("super"), "name_lc", "arity"), "super").select(F.col("sub").alias("container_id"), "name_lc", "arity").distinct()
     s = s.join(interfaces, "container_id", "left_anti").join(required, ["container_id", "name_lc", "arity"], "left_anti")
     top = p.owner.select("id", F.col("type_id").alias("own_type"), F.col("top_id").alias("own_top"))
     uses = p.refs.where("target_id is not null").select(F.col("target_id").alias("id"), "type_id", "top_id")
     sub = p.closure.select(F.col("sub").alias("type_id"), F.col("super").alias("own_type"), F.lit(True).alias("is_sub"))
-    j = s.join(top, "id").join(uses, "id").join(sub, ["type_id", "own_type"], "left")
+    j = lookup(uses, s.join(top, "id"), ["id"]).join(sub, ["type_id", "own_type"], "left")
     g = j.groupBy("path", "id", "name", "name_start", "name_end").agg(F.every(F.col("top_id") == F.col("own_top")).alias("inside"), F.every((F.col("top_id") == F.col("own_top")) | F.coalesce("is_sub", F.lit(False))).alias("family"))
     g = g.where("family").withColumn("start", F.col("name_start")).withColumn("end", F.col("name_end"))
     members = finding(g, "hint", "narrow", F.concat(F.lit("'"), F.col("name"), F.lit("' can be "), F.when(F.col("inside"), "private").otherwise("protected")))

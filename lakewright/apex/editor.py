@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.relations import lookup
+from ..storage import cut
 from .bind import LOCALS, Program
 from .corpus import Lines, is_trigger, nodes, per_file
 from .lexer import COMMENTS
@@ -65,7 +67,9 @@ def dispatch(p: Program) -> DataFrame:
     inter = p.types.where("kind = 'Interface'").select(F.col("id").alias("container_id"), F.lit(True).alias("inter"))
     base = m.join(inter, "container_id", "left").where(F.array_contains(words, "virtual") | F.array_contains(words, "abstract") | F.coalesce("inter", F.lit(False)))
     base = base.select(F.col("id").alias("base"), F.col("container_id").alias("super"), "name_lc", "arity")
-    return base.join(p.closure, "super").join(m.select(F.col("id").alias("override"), F.col("container_id").alias("sub"), "name_lc", "arity"), ["sub", "name_lc", "arity"]).select("base", "override")
+    # from the subtypes up: very many of them may have one supertype
+    over = cut(p.closure.join(m.select(F.col("id").alias("override"), F.col("container_id").alias("sub"), "name_lc", "arity"), "sub").select("override", "super", "name_lc", "arity"), "over")
+    return lookup(over, base, ["super", "name_lc", "arity"]).select("base", "override")
 
 
 def signature(p: Program) -> DataFrame:
@@ -180,7 +184,7 @@ def inlay_hints(p: Program) -> DataFrame:
     calls = p.refs.where("kind in ('method','new') and target_id is not null").select("path", F.col("start").alias("at"), F.col("target_id").alias("callee"))
     w = Window.partitionBy("container_id").orderBy("start")
     params = p.symbols.where("kind = 'Parameter'").select("container_id", "name", "name_lc", (F.row_number().over(w) - 1).alias("k"))
-    j = args.join(calls, ["path", "at"]).join(params.withColumnRenamed("container_id", "callee"), ["callee", "k"])
+    j = lookup(cut(args.join(calls, ["path", "at"]), "args"), params.withColumnRenamed("container_id", "callee"), ["callee", "k"])
     return j.where("text <> name_lc").select("path", "start", "name")
 
 
